@@ -10,7 +10,8 @@ band is also put in the next, so every similar pair meets in a band.
 
 Equal sets are one node. In a bucket (the nodes that share a signature) pairs are made with one hub,
 which is linear in the bucket; links that hold become components, and only nodes of different
-components in a bucket are compared further, first with other hubs and at last with each other.
+components in a bucket are compared further: with another hub, and at last with each other in blocks, by
+an inverted index inside each pair of blocks, which returns the links that join components and no pairs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ from .components import components
 from .runtime import column_buffers, discard, free_shuffles, list_array, materialize, prepare, small_side
 
 _U = np.uint64
-#: Hub rounds before the remaining cross-component pairs of a bucket are compared with each other.
-HUB_ROUNDS = 4
+#: Hub rounds before nodes of buckets with several components are compared in blocks, and the nodes of a block.
+HUB_ROUNDS = 2
+BLOCK_NODES = 256
 #: Passes over the signatures, and how many of one pass that two sets share may be broadcast (about 50 MB as a hashed relation).
 PASSES = 2
 BROADCAST_SIGNATURES = 2_000_000
@@ -214,36 +217,76 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("group", "id").alias("component_id"))
 
 
+def _block_kernel(similarity: tuple[int, int]):
+    num, den = similarity
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["node", "block"], kind="stable")
+        node, block = group["node"].to_numpy(np.int64), group["block"].to_numpy()
+        sets = [np.frombuffer(x, _U) for x in group["items"]]
+        leader = {c: c for c in group["component"]}
+        own = group["component"].to_numpy(np.int64)
+
+        def find(c: int) -> int:
+            while leader[c] != c:
+                leader[c] = leader[leader[c]]
+                c = leader[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        if len(leader) > 1:
+            size = np.array([len(x) for x in sets])
+            _, place = np.unique(np.concatenate(sets), return_inverse=True)
+            cut = np.concatenate(([0], np.cumsum(size)))
+            holder = np.repeat(np.arange(len(sets)), size)[np.argsort(place, kind="stable")]
+            reach = np.concatenate(([0], np.cumsum(np.bincount(place))))
+            cross = block.min() != block.max()
+            for i in range(len(sets)):
+                mine = place[cut[i] : cut[i + 1]]
+                first, count = reach[mine], reach[mine + 1] - reach[mine]
+                total = int(count.sum())
+                spread = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+                shared = np.bincount(holder[spread], minlength=len(sets))
+                linked = den * shared >= num * (size + size[i] - shared)
+                linked &= (block != block[i]) if cross else (np.arange(len(sets)) > i)
+                for j in np.flatnonzero(linked):
+                    p, q = find(int(own[i])), find(int(own[j]))
+                    if p != q:
+                        leader[max(p, q)] = min(p, q)
+                        out.append((max(node[i], node[j]), min(node[i], node[j])))
+        return pd.DataFrame({"a": np.array([x for x, _ in out], np.int64), "b": np.array([y for _, y in out], np.int64)})
+
+    return run
+
+
+def _block_links(open_rows: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links between components among nodes that open buckets connect. Every two nodes of such a cluster meet in one pair of blocks."""
+    hubs = open_rows.groupBy("sig").agg(F.min("node").alias("hub"))
+    clusters = components(open_rows.join(hubs, "sig").where("node <> hub").select("node", "hub").distinct()).withColumnRenamed("component", "cluster")
+    number = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks"))
+    placed = clusters.join(number, "cluster").join(open_rows.select("node", "component").distinct(), "node")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets.withColumnRenamed("id", "node"), "node")
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(_block_kernel(similarity), "a bigint, b bigint")
+
+
 def _compare(members: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Components (node, component) of the links among members (node, size, sig)."""
     spark = members.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
-    tried = spark.createDataFrame([], "a bigint, b bigint")
-    found = members.select("node", F.col("node").alias("component")).limit(0)
+    found = None
     open_rows = members.withColumn("component", F.col("node"))
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            order = F.struct(F.col("node").alias("o")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "node").alias("o"))
-            hubs = open_rows.groupBy("sig").agg(F.min_by(F.struct("node", "size", "component"), order).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.size").alias("na"), F.col("hub.component").alias("hub_component"))
-            pairs = open_rows.join(hubs, "sig").where("component <> hub_component").withColumnRenamed("size", "nb").where(similar_size(similarity)).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-        else:
-            left, right = (open_rows.select("sig", F.col("node").alias(x), F.col("size").alias(y), F.col("component").alias(z)) for x, y, z in (("a", "na", "ca"), ("b", "nb", "cb")))
-            pairs = left.join(right, "sig").where("a > b and ca <> cb").where(similar_size(similarity)).select("a", "b")
-        pairs = pairs.distinct()
-        pairs = materialize(pairs if turn == 0 else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        fresh = materialize(_links(pairs, sets, similarity), "links")
-        links = links.unionByName(fresh)
-        tried = tried.unionByName(pairs)
+    for turn in range(HUB_ROUNDS):
+        order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+        hubs = open_rows.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "node", "size", "component")).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.size").alias("na"), F.col("hub.component").alias("hub_component"))
+        pairs = open_rows.join(hubs, "sig").where("component <> hub_component").withColumnRenamed("size", "nb").where(similar_size(similarity)).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        links = links.unionByName(materialize(_links(pairs, sets, similarity), "links"))
         found = materialize(components(links), "components")
-        if turn == HUB_ROUNDS:
-            break
         # Buckets with one component are done; so are those of two nodes, which have been compared.
-        placed = (open_rows.drop("component") if turn else members).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = open_rows.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spread = placed.groupBy("sig").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.count(F.lit(1)).alias("held")).where("highest > lowest and held > 2")
-        after = materialize(placed.join(spread.select("sig"), "sig", "left_semi"), "open")
-        if turn:
-            discard(open_rows)
-        open_rows = after
+        open_rows = materialize(placed.join(spread.select("sig"), "sig", "left_semi"), "open")
         if not open_rows.take(1):
-            break
-    return found
+            return found
+    links = links.unionByName(materialize(_block_links(open_rows, sets, similarity), "links"))
+    return components(links)
