@@ -34,7 +34,7 @@ SHARD_BYTES = 4 << 20
 #: Documents that the dictionary is trained on at most (smallest hashes), ids of each, and the dictionary's bytes.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4096, 64 << 10
 LEVEL = 3
-MEMO_WORDS = 300_000
+MEMO_WORDS = 700_000
 INDEX = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<i8"), ("at", "<u4"), ("size", "<u4"), ("null", "u1")])
 _tokenizers: dict[str, object] = {}
 #: White space or what some library counts as such, before a space: there a cut could split a match.
@@ -58,32 +58,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
-
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        # A special token between pieces lets the library take many in one call; the pieces' ids are cut at its id.
+        plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = plain[0] if plain else (None, None)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # pieces that come here are new; the library's own memory of words costs more than it saves
+
+    def _library(self, pieces: list[str], marked: bool) -> list[bytes]:
+        if not marked:
+            return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0].ids, self.width)
+        size = self.width.itemsize
+        ends = (np.flatnonzero(ids == self.mark_id) * size).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(raw)], strict=True)]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of `width`."""
+        first, *rest = text.split(" ")
         if _UNSAFE.search(text):
-            pieces, rest = [], text.split(" ")
-            for k, part in enumerate(rest):
-                piece = part if k == 0 else " " + part
-                if pieces and (not pieces[-1] or _UNSAFE.search(pieces[-1][-1] + " ")):
-                    pieces[-1] += piece
+            pieces = [first]
+            for part in rest:
+                if not pieces[-1] or _UNSAFE.search(pieces[-1][-1] + " "):
+                    pieces[-1] += " " + part
                 else:
-                    pieces.append(piece)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *(" " + part for part in rest)]
-        memo = self.memo
-        found = [memo.get(p) for p in pieces]
-        if None in found:
-            missing = list(dict.fromkeys(p for p, f in zip(pieces, found, strict=True) if f is None))
-            fresh = dict(zip(missing, self._library(missing), strict=True))
+                    pieces.append(part)
+            first, *rest = pieces
+        memo = self.memo  # of pieces without the space before them
+        found = list(map(memo.get, rest))
+        missing = list(dict.fromkeys(p for p, f in zip(rest, found, strict=True) if f is None)) if None in found else []
+        marked = self.mark is not None and self.mark not in text
+        fresh = self._library([first, *(" " + p for p in missing)], marked)
+        if missing:
+            new = dict(zip(missing, fresh[1:], strict=True))
             if len(memo) < MEMO_WORDS:
-                memo.update(x for x in fresh.items() if len(x[0]) < 40)
-            found = [fresh[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-        return b"".join(found)
+                memo.update(x for x in new.items() if len(x[0]) < 40)
+            found = [new[p] if f is None else f for p, f in zip(rest, found, strict=True)]
+        return fresh[0] + b"".join(found)
 
 
 def encoder(path: str) -> Encoder:
