@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, line dedup, near-duplicate documents, decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the
-shared scratch folder and rereads it as the next one's docs. All stages but the last return the columns of documents.
+shared scratch folder and rereads it as the next one's docs, so each stage begins by deleting the scratch tables
+of those before it. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from tallyweave.llm.queries import bpe_pattern, tokenizer_path
-from tallyweave.llm.runtime import materialize, scratch_dir, small_side, table
+from tallyweave.llm.runtime import materialize, release, scratch_dir, small_side, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of smallest id, of each group of near duplicates."""
+    release(spark)
     groups = jaccard_join.jaccard_components(docs, n=5, similarity=(80, 100))
     gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(small_side(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
@@ -37,6 +39,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth of the words."""
+    release(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -60,17 +60,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyweave_path = path
+    spark.sparkContext._tallyweave_tables = [*getattr(spark.sparkContext, "_tallyweave_tables", []), path]
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    context._tallyweave_tables = [x for x in getattr(context, "_tallyweave_tables", []) if x != path]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that no later plan reads."""
     for df in tables:
         path = getattr(df, "_tallyweave_path", None)
         if path:
-            context = df.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this context: for a caller whose earlier results are all written elsewhere."""
+    for path in list(getattr(spark.sparkContext, "_tallyweave_tables", [])):
+        _delete(spark, path)
+    free_shuffles(spark)
 
 
 def free_shuffles(spark: SparkSession) -> None:

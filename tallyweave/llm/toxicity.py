@@ -8,6 +8,7 @@ nothing from who is mentioned, which keeps neutral mentions below the threshold.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ SWAP = {term: group[(k + 1) % len(group)] for group in IDENTITY_TERMS for k, ter
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that training reads at most, by smallest hash of the id.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 PREFIXES = (4, 5, 6)
 MEMO_WORDS = 300_000
 
@@ -176,7 +177,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     key = [(bool(y), f.tobytes()) for y, f in zip(toxic, lists("own"), strict=True)]
     order = sorted(range(len(key)), key=key.__getitem__)  # rows come in any order; the fit shouldn't depend on it
     own_rows, swapped_rows = lists("own"), lists("swapped")
-    return fit([own_rows[k] for k in order], [swapped_rows[k] for k in order], toxic[order] if len(order) else toxic, **options)
+    model = fit([own_rows[k] for k in order], [swapped_rows[k] for k in order], toxic[order] if len(order) else toxic, **options)
+    del rows, own_rows, swapped_rows, key
+    give_back()
+    return model
+
+
+def give_back() -> None:
+    """Returns freed memory of the fit to the system; the driver may have long work ahead."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def _score_kernel(model: Model, place: int, below: float | None):

@@ -52,6 +52,7 @@ def corpus(seed, groups=6, size=14, words=60):
 def test_components_equal_brute_force(spark, monkeypatch, n, num, rounds):
     monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", max(1, rounds))
     monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 5)
+    monkeypatch.setattr(jaccard_join, "BUCKET_NODES", 3)
     rows = corpus(n)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs, n=n, similarity=(num, 100)).collect()}
