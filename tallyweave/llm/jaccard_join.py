@@ -2,11 +2,12 @@
 
 Sets are dealt into bands of similar size. In a band whose largest set has r items, two sets of Jaccard
 similarity t or more differ in at most f(2r) items, f(x) = x(1 - t)/(1 + t). The feature domain is hashed into
-f(2r) + 2 partitions for that band. Sets of sizes a and b differ in at most f(a + b) of these, so among the
-first f(a + b) + 2 two at least are equal. A set's signatures are its projections on the first partitions
-(as many as its largest possible partner asks for) that aren't empty, and on each pair of
-empty ones; two sets that agree on two partitions share one of these. A set near the upper end of its
-band is also put in the next, so every similar pair meets in a band.
+partitions for that band, so many that sets fill more than f(2r) of them. A set's signatures are its
+projections on the first f(a + b) + 1 partitions that it fills, b its largest possible partner: the sets differ in
+at most f(a + b) partitions, so one of these is equal in both, and the partner, which fills it too, has it
+among its own. Partitions that both leave empty, in which all sets agree, make no signature. A set
+that fills too few partitions also gives its first items in hash order, as partitions of one item each.
+A set near the upper end of its band is also put in the next, so every similar pair meets in a band.
 
 Equal sets are one node. In a bucket (the nodes that share a signature) pairs are made with one hub,
 which is linear in the bucket; links that hold become components, and only nodes of different
@@ -19,7 +20,10 @@ blocks, by an inverted index, which returns the links that join components.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -62,35 +66,44 @@ def _combine(*parts: int) -> int:
     return value
 
 
+@lru_cache(maxsize=4096)
+def _band(band: int, largest: int, most: int) -> tuple[int, np.uint64, np.uint64, np.uint64]:
+    """How many partitions a band has, so that a set of its largest size fills more than `most` of them (by six standard deviations), and its seeds."""
+    parts = most + 2
+    while True:
+        load = largest / parts
+        free = math.exp(-load)
+        spread = math.sqrt(max(0.0, parts * (free - (1 + load) * free * free)))
+        if parts * (1 - free) - 6 * spread >= most + 1 or parts >= 4 * largest + 64:
+            return parts, _U(_combine(17, band)), _U(_combine(29, band)), _U(_combine(43, band))
+        parts += 1 + parts // 32
+
+
 def signatures(items: np.ndarray, similarity: tuple[int, int], ends: list[int]) -> np.ndarray:
     """PartEnum signatures of one set (distinct 64-bit items) as 64-bit values. Sets too small to differ have none."""
     num, den = similarity
     n = len(items)
     differ = lambda x: x * (den - num) // (den + num)
-    own = int(np.searchsorted(ends, n, side="right")) - 1
+    own = bisect_right(ends, n) - 1
     partner = n * den // num  # of the largest similar set
     out = []
     for band in (own, own + 1):
         if band > own and partner < ends[band]:
             break
-        most = differ(n + (min(partner, ends[band + 1] - 1)))
+        largest = ends[band + 1] - 1
+        most = differ(n + min(partner, largest))
         if most == 0:
             continue  # only equal sets are similar, and these are one node
-        parts = differ(2 * (ends[band + 1] - 1)) + 2
-        seed = _combine(17, band)
-        part = ((W.mix(items ^ _U(seed)) >> _U(32)) * _U(parts)) >> _U(32)
-        part = part.astype(np.int64)
-        used = min(most + 2, parts)
-        inside = part < used
-        total = np.zeros(used, _U)
-        np.add.at(total, part[inside], W.mix(items[inside] + _U(seed)))
-        count = np.bincount(part[inside], minlength=used)
-        filled = np.flatnonzero(count)
-        out.append(W.mix(total[filled] + W.mix(filled.astype(_U) + _U(_combine(29, band)))))
-        empty = np.flatnonzero(count == 0)
-        if len(empty) > 1:
-            p, q = np.triu_indices(len(empty), 1)
-            out.append(W.mix(empty[p].astype(_U) * _U(parts) + empty[q].astype(_U) + _U(_combine(43, band))))
+        parts, seed, mark, single = _band(band, largest, differ(2 * largest))
+        hashed = W.mix(items ^ seed)
+        part = (((hashed >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+        filled = np.flatnonzero(np.bincount(part))[: most + 1]
+        inside = part <= filled[-1]
+        total = np.zeros(int(filled[-1]) + 1, _U)
+        np.add.at(total, part[inside], W.mix(hashed[inside]))
+        out.append(W.mix(total[filled] + W.mix(filled.astype(_U) + mark)))
+        if len(filled) <= most:
+            out.append(W.mix(np.sort(hashed)[: most + 1] + single))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
