@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import parse, text
-from .operators import confidence, datasets, linking, metrics, privacy, records, rules
+from .operators import confidence, datasets, linking, metrics, parsing, privacy, records, rules
 from .sources import io
 from .streaming import lifecycle
 
@@ -441,3 +441,19 @@ def q53_checkbox_confidence(spark, sf):
 def q54_date_gap_rule(spark, sf):
     li, o = io.parquet(spark, sf, "lineitem"), io.parquet(spark, sf, "orders")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", "l_linenumber", rules.apart(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"), 60, 45).alias("inconsistent"))
+
+
+_READING = """CASE p_partkey%8 WHEN 0 THEN '31/02/2025' WHEN 1 THEN (80+p_size)||' / '||(40+p_size) WHEN 2 THEN p_size||' kg' WHEN 3 THEN CASE WHEN p_size%2=0 THEN 'OUI' ELSE 'non.' END WHEN 4 THEN lower(p_brand)||'/' WHEN 5 THEN CASE WHEN p_size%2=0 THEN 'negatf' ELSE 'q'||p_size END WHEN 6 THEN p_name WHEN 7 THEN CASE WHEN p_size%2=0 THEN '?' ELSE '' END END"""
+
+
+@query(f"""WITH r AS (SELECT p_partkey, p_size, p_brand, p_partkey%8 AS k, {_READING} AS raw FROM part)
+SELECT p_partkey, CASE WHEN k<7 THEN 'KNOWN' WHEN p_size%2=0 THEN 'UNKNOWN' ELSE 'NOT_PROVIDED' END AS status,
+CASE k WHEN 1 THEN replace(raw,' ','') WHEN 2 THEN CAST(CAST(CASE WHEN p_size>30 THEN round_even(p_size/10.0,0) ELSE p_size END AS BIGINT) AS VARCHAR) WHEN 3 THEN CASE WHEN p_size%2=0 THEN 'true' ELSE 'false' END WHEN 4 THEN upper(replace(p_brand,'#','')) WHEN 5 THEN CASE WHEN p_size%2=0 THEN 'negative' ELSE raw END WHEN 7 THEN NULL ELSE raw END AS value,
+k<>0 AND NOT (k=5 AND p_size%2=1) AS ok, CASE WHEN k=5 AND p_size%2=0 THEN round(12/13::DOUBLE,6) WHEN k=5 THEN 0.0 ELSE 1.0 END::DOUBLE AS lexicon_score,
+CASE WHEN k=0 THEN 'date_unparsed' WHEN k=2 AND p_size>30 THEN 'repaired' WHEN k=5 AND p_size%2=1 THEN 'not_in_vocabulary' ELSE '' END AS flags FROM r""")
+def q55_parse_values(spark, sf):
+    k = F.col("p_partkey") % 8
+    kinds = F.element_at(F.array(*(F.lit(x) for x in ("date", "bp", "int", "bool", "code", "enum", "text", "text"))), (k + 1).cast("int"))
+    readings = io.parquet(spark, sf, "part").select("p_partkey", F.expr(_READING).alias("raw"), kinds.alias("value_type"), F.when(k == 5, "test_result").alias("vocabulary"), F.lit("kg").alias("unit"), F.lit(0.0).alias("low"), F.lit(30.0).alias("high"))
+    out = parsing.parse_values(readings)
+    return out.select("p_partkey", "parsed.status", "parsed.value", "parsed.ok", F.round("parsed.lexicon_score", 6).alias("lexicon_score"), F.concat_ws(",", "parsed.flags").alias("flags"))

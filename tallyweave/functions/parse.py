@@ -18,13 +18,12 @@ def parse_number(raw: Column) -> Column:
     return number * F.when(text.rlike(r"[0-9]\s*[kK]\b"), 1000.0).otherwise(1.0)
 
 
-def repair_number(raw: Column, value: Column, low: Column, high: Column, unit: Column) -> Column:
-    """For a value out of range: without a last 9 that stands for g, or with a lost decimal point; the first that fits, else null."""
+def repair_number(raw: Column, low: Column, high: Column, unit: Column) -> Column:
+    """For a value out of range: all digits without a last 9 that stands for g, or with a lost decimal point; the first that fits, else null."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
+    value = F.when(~raw.rlike("[.,]"), digits.try_cast("double"))
     no_unit = F.when((unit == "g") & digits.endswith("9") & (F.length(digits) >= 4), F.left(digits, F.length(digits) - 1).try_cast("double"))
-    point = ~raw.rlike("[.,]")
-    tries = F.array(no_unit, F.when(point, value / 10), F.when(point, value / 100))
-    return F.get(F.filter(tries, lambda x: x.between(low, high)), 0)
+    return F.get(F.filter(F.array(no_unit, value / 10, value / 100), lambda x: x.between(low, high)), 0)
 
 
 def parse_bp(raw: Column) -> Column:
