@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import parse, text
-from .operators import confidence, datasets, linking, metrics, parsing, privacy, records, rules
+from .operators import confidence, datasets, linking, metrics, page_rules, parsing, privacy, records, rules
 from .sources import io
 from .streaming import lifecycle
 
@@ -457,3 +457,19 @@ def q55_parse_values(spark, sf):
     readings = io.parquet(spark, sf, "part").select("p_partkey", F.expr(_READING).alias("raw"), kinds.alias("value_type"), F.when(k == 5, "test_result").alias("vocabulary"), F.lit("kg").alias("unit"), F.lit(0.0).alias("low"), F.lit(30.0).alias("high"))
     out = parsing.parse_values(readings)
     return out.select("p_partkey", "parsed.status", "parsed.value", "parsed.ok", F.round("parsed.lexicon_score", 6).alias("lexicon_score"), F.concat_ws(",", "parsed.flags").alias("flags"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey%6 AS g, o_custkey%4 AS p, o_custkey%9 AS l, o_orderkey%3=0 AS v FROM orders),
+f AS (SELECT k, 'history.gravidity' AS field, 'KNOWN' AS status, CASE WHEN p>g THEN 'parity_exceeds_gravidity' ELSE '' END AS flags FROM o
+UNION ALL SELECT k, 'history.parity', 'KNOWN', concat_ws(',', CASE WHEN p>g THEN 'parity_exceeds_gravidity' END, CASE WHEN l>p+2 THEN 'living_children_exceed_parity' END) FROM o
+UNION ALL SELECT k, 'history.living_children', 'KNOWN', CASE WHEN l>p+2 THEN 'living_children_exceed_parity' ELSE '' END FROM o
+UNION ALL SELECT k, 'history.rubella_vaccinated', 'KNOWN', '' FROM o
+UNION ALL SELECT k, 'history.rubella_date', CASE WHEN v THEN 'NOT_PROVIDED' ELSE 'NOT_APPLICABLE' END, CASE WHEN v THEN '' ELSE 'not_applicable:not_vaccinated' END FROM o
+UNION ALL SELECT k, 'history.prev3.date', CASE WHEN p<3 THEN 'NOT_APPLICABLE' ELSE 'NOT_PROVIDED' END, CASE WHEN p<3 THEN 'not_applicable:beyond_parity' ELSE '' END FROM o) SELECT * FROM f""")
+def q56_page_rules(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = {"gravidity": k % 6, "parity": c % 4, "living_children": c % 9, "rubella_vaccinated": k % 3 == 0, "rubella_date": None, "prev3.date": None}
+    fields = F.array(*(F.struct(F.lit(f"history.{name}").alias("field"), F.lit("NOT_PROVIDED" if value is None else "KNOWN").alias("status"), (F.lit(None) if value is None else value).cast("string").alias("value")) for name, value in said.items()))
+    rows = io.parquet(spark, sf, "orders").select(k.alias("page"), F.lit("history").alias("page_type"), F.inline(fields))
+    rows = rows.withColumns({"source": F.lit("ocr"), "flags": F.array().cast("array<string>"), "exclusive_group": F.lit(None).cast("string")})
+    return page_rules.apply_rules(rows).select(F.col("page").alias("k"), "field", "status", F.concat_ws(",", "flags").alias("flags"))
