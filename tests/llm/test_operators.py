@@ -150,6 +150,16 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_repeated_passages_under_a_template(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template = [word() for _ in range(40)]
+    own = [[word() for _ in range(10)] for _ in range(12)]
+    rows = [(k, " ".join([word() for _ in range(60)] + template + own[k // 2] + [word() for _ in range(60)])) for k in range(24)]
+    got = {r["doc_id"]: (r["start_word"], r["end_word"], r["class_id"]) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert got == {k: (60, 110, k - k % 2) for k in range(24)}
+
+
 def test_toxicity_counterfactual(spark):
     rng = random.Random(7)
     word = lambda: f"n{rng.choice('abcdefgh')}{rng.choice('klmnop')}x"
