@@ -160,6 +160,20 @@ def test_repeated_passages_under_a_template(spark):
     assert got == {k: (60, 110, k - k % 2) for k in range(24)}
 
 
+def test_near_passages_under_a_template(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    template, rows = [word() for _ in range(30)], []
+    for k in range(40):
+        body = [word() for _ in range(30)] + template + [word() for _ in range(30)]
+        for c in range(2):
+            text = list(body)
+            if c:
+                text[14], text[75] = word(), word()
+            rows.append((2 * k + c, " ".join([word() for _ in range(60)] + text + [word() for _ in range(60)])))
+    assert len({r["doc_id"] for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}) == len(rows)
+
+
 def test_toxicity_counterfactual(spark):
     rng = random.Random(7)
     word = lambda: f"n{rng.choice('abcdefgh')}{rng.choice('klmnop')}x"
