@@ -174,6 +174,16 @@ def test_near_passages_under_a_template(spark):
     assert len({r["doc_id"] for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}) == len(rows)
 
 
+def test_passages_over_gaps():
+    rng = np.random.default_rng(1)
+    stray = rng.integers(1, 2**62, 97).astype(np.uint64)
+    a, b = np.r_[stray[:41], stray[50:54], stray[54:95]], np.r_[stray[:41], rng.integers(1, 2**62, 11).astype(np.uint64), stray[54:95]]
+    assert substring_dedup.passages(a, b, 46, 0.8) == [(0, 86, 0, 93)]
+    edited = np.r_[stray[:30], rng.integers(1, 2**62, 5).astype(np.uint64), stray[35:70]]
+    noise = rng.integers(1, 2**62, 40).astype(np.uint64)
+    assert substring_dedup.passages(np.r_[stray[:70], noise[:8], stray[80:83]], np.r_[edited, noise[20:27], stray[80:83]], 46, 0.8) == [(0, 70, 0, 70)]  # with the stray shingles the stretch has similarity 0.73
+
+
 def test_toxicity_counterfactual(spark):
     rng = random.Random(7)
     word = lambda: f"n{rng.choice('abcdefgh')}{rng.choice('klmnop')}x"
