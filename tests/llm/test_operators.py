@@ -184,6 +184,14 @@ def test_passages_over_gaps():
     assert substring_dedup.passages(np.r_[stray[:70], noise[:8], stray[80:83]], np.r_[edited, noise[20:27], stray[80:83]], 46, 0.8) == [(0, 70, 0, 70)]  # with the stray shingles the stretch has similarity 0.73
 
 
+def test_passages_after_common_beginnings():
+    rng = np.random.default_rng(2)
+    fresh = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
+    opening, rest = fresh(8), fresh(38)
+    a = np.concatenate([x for _ in range(100) for x in (opening, fresh(3))] + [opening, rest])
+    assert (1100, 1146, 20, 66) in substring_dedup.passages(a, np.r_[fresh(20), opening, rest, fresh(20)], 46, 0.8)
+
+
 def test_toxicity_counterfactual(spark):
     rng = random.Random(7)
     word = lambda: f"n{rng.choice('abcdefgh')}{rng.choice('klmnop')}x"
