@@ -210,3 +210,7 @@ def test_toxicity_counterfactual(spark):
     assert change[0] <= change[1] + 0.05
     assert toxicity.reject(docs, fair).count() == 403
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), lab.limit(0))).count() == 0
+
+
+def test_toxicity_sample_is_whole():
+    assert toxicity.SAMPLE_PER_CLASS == 3000
