@@ -1,7 +1,7 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns give candidate spans. The candidates' hashes are counted over the corpus by distinct
-repositories and owners: a value that several owners hold is a widely copied example; one that a
+repositories and owners: a value that several owners or many repositories hold is a widely copied example; one that a
 single owner holds and that looks random is reported as live.
 """
 
@@ -32,6 +32,8 @@ PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|change_me|placeholder|y
 LIVE_ENTROPY = 2.5
 #: Distinct owners up to which a value is specific to its owner.
 LIVE_OWNERS = 1
+#: Distinct repositories up to which a value of few owners is specific; one in more of them is a copied example.
+LIVE_REPOS = 100
 
 
 def entropy(value: str) -> float:
@@ -83,12 +85,13 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """Per row of docs: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", live_owners: int = LIVE_OWNERS, live_repos: int = LIVE_REPOS) -> DataFrame:
+    """Per row of docs: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, max_repos.
 
     Base spans of a kind are leftmost and non-overlapping over the whole text; a match that is too short is
-    dropped. A candidate whose value has at most live_owners distinct owners in the corpus and
-    looks live adds a span of kind live over the value; one with more owners counts in n_example.
+    dropped. A candidate whose value has at most live_owners distinct owners and live_repos distinct
+    repositories in the corpus and looks live adds a span of kind live over the value; one with more of either
+    counts in n_example. max_repos is the largest number of repositories that hold a value of the row, 0 without one.
     spans holds all as kind:start:end, by start, then kind, comma-joined; base_sha256 is the digest of
     the base spans written likewise. Null texts count as empty; null owners are one owner, null
     repositories one repository. Repeated rows each get their result. A value copied into very many
@@ -99,14 +102,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = materialize(source.mapInArrow(_kernel, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "secrets")
     held = base.where("size(cands) > 0").select("row", "repo", "owner", F.explode("cands").alias("c"))
     seen = held.select(F.col("c.h").alias("h"), "owner", "repo").distinct()
-    stats = seen.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("h").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
+    owners = seen.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
+    stats = owners.join(seen.groupBy("h", "repo").agg(F.count(F.lit(1))).groupBy("h").agg(F.count(F.lit(1)).alias("repos")), "h")
     stats = materialize(stats, "owners")
     # Only rows with candidates meet the statistics; the hash may be hot, so its one row is on the other side.
     judged = held.join(small_side(stats.withColumnRenamed("h", "vh")), F.col("c.h") == F.col("vh"))
-    live = (F.col("owners") <= live_owners) & F.col("c.live")
+    copied = (F.col("owners") > live_owners) | (F.col("repos") > live_repos)
+    live = ~copied & F.col("c.live")
     added = judged.groupBy("row").agg(
         F.collect_list(F.when(live, F.struct(F.col("c.from").alias("start"), F.lit(3).alias("kind"), F.col("c.to").alias("end")))).alias("more"),
-        F.sum(F.when(F.col("owners") > live_owners, 1).otherwise(0)).alias("n_example"),
+        F.sum(F.when(copied, 1).otherwise(0)).alias("n_example"),
+        F.max("repos").alias("max_repos"),
     )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     everything = F.sort_array(F.array_union(F.transform("cands", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))), F.coalesce("more", none)))
@@ -114,5 +120,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = F.array_join(F.transform(everything, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     return base.join(added, "row", "left").select(
         F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"),
-        F.coalesce(F.size(F.array_distinct(F.coalesce("more", none))), F.lit(0)).cast("bigint").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("bigint").alias("n_example"),
+        F.coalesce(F.size(F.array_distinct(F.coalesce("more", none))), F.lit(0)).cast("bigint").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("bigint").alias("n_example"), F.coalesce("max_repos", F.lit(0)).cast("bigint").alias("max_repos"),
     )

@@ -109,6 +109,12 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_copied_under_one_owner(spark):
+    rows = [(k, "api_key = q7Zp2Lm9Xv4Rt8Kw") for k in range(101)] + [(200, "api_key = h3Nd6Bs1Yc5Gf0Jq")]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert [(got[k]["n_live"], got[k]["n_example"], got[k]["max_repos"]) for k in (0, 100, 200)] == [(0, 1, 101), (0, 1, 101), (1, 0, 1)]
+
+
 def test_html():
     tree = html_blocks.train()
     page = '<html><head><title>T</title><script>var a="</p>"</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy now, cheap &amp; good.</div><article><h1>A &lt;b&gt;</h1><p>Some\n  <b>bold</b> text&nbsp;here.<br><p>To to.</p><!-- x --><div class="comments"><p>I think so too, very much.</p></div></article><footer>&copy; us</footer>'
