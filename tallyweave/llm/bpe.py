@@ -1,7 +1,9 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-Long texts are cut where a word ends and white space begins: no match of the pattern spans such a
-place and none looks across it from the left, so the ids are those of the whole text.
+Long texts are cut where white space begins: no match of the pattern spans such a place and none looks
+across it from the left, so the ids are those of the whole text. A very long run of white space, on which the
+library's pattern engine runs out of stack, is one match by the pattern's own last rules (all of it at the end of a
+text, else all but its last character) and goes to the ranks directly.
 """
 
 from __future__ import annotations
@@ -20,7 +22,13 @@ from .runtime import prepare, texts_of
 
 #: Code points beyond which a text is encoded in pieces.
 PIECE = 50_000
-_SAFE = re.compile(r"(?<=[^\W_])(?=[ \n])")
+#: Code points of white space from which a run bypasses the pattern.
+RUN = 10_000
+#: The characters that the pattern's \\s stands for (Unicode White_Space), and its last alternatives.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_RULES = r"\s+(?!\S)|\s+"
+_SAFE = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])")
+_LONG = re.compile(f"[{SPACES}]{{{RUN},}}")
 _encoders: dict[tuple[str, str], object] = {}
 
 
@@ -49,10 +57,17 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 def encode(encoding, text: str) -> list[int]:
-    if len(text) <= PIECE:
+    """The ids of the whole text. Patterns with other rules for white space are left to the library."""
+    if len(text) <= RUN or not encoding._pat_str.endswith(SPACE_RULES):
         return encoding.encode_ordinary(text)
     ids: list[int] = []
-    for piece in pieces(text):
+    start = 0
+    for run in _LONG.finditer(text):
+        for piece in pieces(text[start : run.start()]):
+            ids += encoding.encode_ordinary(piece)
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding._encode_single_piece(text[run.start() : start].encode())
+    for piece in pieces(text[start:]):
         ids += encoding.encode_ordinary(piece)
     return ids
 

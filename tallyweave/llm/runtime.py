@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -43,16 +44,30 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The shared folder for cut lineage: spark.checkpoint.dir. Where it is unset, a temporary one in local mode only (tests)."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(context, "_tallyweave_scratch", None)
         if root is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = context._tallyweave_scratch = "file://" + tempfile.mkdtemp(prefix="tallyweave-scratch-")
     return root.rstrip("/")
 
 
+@contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Tables that are materialized within belong to `owner`, who deletes them with release()."""
+    context = spark.sparkContext
+    before = getattr(context, "_tallyweave_owner", None)
+    context._tallyweave_owner = owner
+    try:
+        yield
+    finally:
+        context._tallyweave_owner = before
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet under the scratch folder and reads it again: executors may be lost, the files stay."""
     spark = df.sparkSession
@@ -60,7 +75,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyweave_path = path
-    spark.sparkContext._tallyweave_tables = [*getattr(spark.sparkContext, "_tallyweave_tables", []), path]
+    context = spark.sparkContext
+    owner = getattr(context, "_tallyweave_owner", None)
+    if owner is not None:
+        context._tallyweave_tables = [*getattr(context, "_tallyweave_tables", []), (owner, path)]
     return out
 
 
@@ -68,7 +86,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    context._tallyweave_tables = [x for x in getattr(context, "_tallyweave_tables", []) if x != path]
+    context._tallyweave_tables = [x for x in getattr(context, "_tallyweave_tables", []) if x[1] != path]
 
 
 def discard(*tables: DataFrame) -> None:
@@ -79,10 +97,11 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all scratch tables of this context: for a caller whose earlier results are all written elsewhere."""
-    for path in list(getattr(spark.sparkContext, "_tallyweave_tables", [])):
-        _delete(spark, path)
+def release(spark: SparkSession, owner: str) -> None:
+    """Deletes the scratch tables of `owner`, whose results are all written elsewhere. Those of other callers stay."""
+    for name, path in list(getattr(spark.sparkContext, "_tallyweave_tables", [])):
+        if name == owner:
+            _delete(spark, path)
     free_shuffles(spark)
 
 

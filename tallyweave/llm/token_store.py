@@ -227,9 +227,11 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id
     prepare(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = docs.count()
-    cut = int(min(1.0, SAMPLE_DOCS / max(1, rows)) * (1 << 30))
-    sampled = source.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < cut) if rows > SAMPLE_DOCS else source
-    samples = sampled.select("text").limit(2 * SAMPLE_DOCS).mapInArrow(_sample_kernel(tokenizer_file, end_id), "ids binary").toArrow().column("ids").to_pylist()
+    hashed = source.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+    # About twice as many as needed pass the filter, so few texts are sorted.
+    cut = int(min(1.0, 2 * SAMPLE_DOCS / max(1, rows)) * (1 << 30))
+    sampled = hashed.where(F.col("h") < cut).orderBy("h", "id").limit(SAMPLE_DOCS).select("text")
+    samples = sampled.mapInArrow(_sample_kernel(tokenizer_file, end_id), "ids binary").toArrow().column("ids").to_pylist()
     dictionary = train_dictionary(sorted(samples))
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     number = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

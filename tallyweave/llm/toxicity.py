@@ -9,6 +9,7 @@ nothing from who is mentioned, which keeps neutral mentions below the threshold.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +53,7 @@ def text_features(words: set[str]) -> np.ndarray:
     found: set[int] = set()
     for word in words:
         found.update(word_features(word))
-    return np.array(sorted(found), np.int64)
+    return np.array(sorted(found), np.uint32)
 
 
 @dataclass
@@ -79,8 +80,8 @@ class Model:
         return out
 
 
-def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], toxic: np.ndarray, *, l1: float = 2e-4, l2: float = 1e-5, counterfactual: float = 1.0, keep: int = 4000, steps: int = 400) -> Model:
-    """Fits the model to feature sets. swapped: the set of the swapped text, or None without a mention.
+def fit(rows: list[np.ndarray], changes: list[tuple[np.ndarray, np.ndarray] | None], toxic: np.ndarray, *, l1: float = 2e-4, l2: float = 1e-5, counterfactual: float = 1.0, keep: int = 4000, steps: int = 400) -> Model:
+    """Fits the model to feature sets. changes: the features that a text loses and gains when its mentions are swapped, or None without a mention.
 
     loss = class-balanced mean log loss + l1 |w| + l2 w^2 / 2 + counterfactual * mean (f(x) - f(swapped x))^2 / 2,
     by accelerated proximal gradient steps. Only the `keep` features that differ most between the classes
@@ -111,8 +112,11 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], toxic: np.ndar
         at[at == len(names)] = 0
         return at[names[at] == features]
 
-    pairs = [(k, x) for k, x in enumerate(swapped) if x is not None]
-    d_col, d_row, d_val = (np.concatenate(x) if x else np.zeros(0, int) for x in zip(*[(np.r_[columns(rows[k]), columns(x)], np.full(len(columns(rows[k])) + len(columns(x)), i), np.r_[np.ones(len(columns(rows[k]))), -np.ones(len(columns(x)))]) for i, (k, x) in enumerate(pairs)], strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    pairs = [(columns(lost), columns(gained)) for lost, gained in (x for x in changes if x is not None)]
+    none = np.zeros(0, np.int64)
+    d_col = np.concatenate([none, *(x for pair in pairs for x in pair)])
+    d_row = np.repeat(np.arange(len(pairs)), [len(x) + len(y) for x, y in pairs])
+    d_val = np.concatenate([none, *(np.r_[np.ones(len(x)), -np.ones(len(y))] for x, y in pairs)])
     n, m = len(rows), len(chosen)
     share = np.where(toxic, 0.5 / positive, 0.5 / (n - positive))
     sign = np.where(toxic, 1.0, -1.0)
@@ -149,36 +153,47 @@ def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], toxic: np.ndar
 
 
 def _feature_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.int64())
+    """Feature hashes as 32-bit integers, and which of them a swap of the mentions takes away and adds (null without a mention)."""
+    kind = pa.list_(pa.int32())
     for batch in batches:
-        own, swapped = [], []
+        own, lost, gained = [], [], []
         for text in texts_of(batch, "text"):
             words = set(WORD.findall(text.lower()))
-            own.append(text_features(words))
-            swapped.append(text_features({SWAP.get(w, w) for w in words}) if words & SWAP.keys() else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, kind), pa.array(swapped, kind)], names=["toxic", "own", "swapped"])
+            have = text_features(words)
+            own.append(have.view(np.int32))
+            if words & SWAP.keys():
+                other = text_features({SWAP.get(w, w) for w in words})
+                lost.append(np.setdiff1d(have, other).view(np.int32))
+                gained.append(np.setdiff1d(other, have).view(np.int32))
+            else:
+                lost.append(None)
+                gained.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x in (own, lost, gained))], names=["toxic", "own", "lost", "gained"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS, **options) -> Model:
     """Trains on the labelled rows whose crc32(id as text) mod 5 is not 0.
 
     The sample is bounded: at most sample_per_class ids of each class, those of smallest hash. Rows
-    without a label or id are left out; an id labelled twice counts as toxic if one label says so.
+    without a label or id are left out; an id labelled twice counts as toxic if one label says so, and a row of docs
+    that repeats an id is learnt from each time.
     """
     prepare(docs.sparkSession)
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     own = own.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    sample = own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_per_class).drop("place")
+    # The smallest hashes of each class: every partition keeps so many, and they are merged.
+    hashed = own.select("id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("id").alias("h"))
+    least = lambda label: hashed.where(F.col("toxic") == label).orderBy("h", "id").limit(sample_per_class)
+    sample = least(1).unionByName(least(0)).drop("h")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("toxic", "text")
-    rows = texts.mapInArrow(_feature_kernel, "toxic int, own array<bigint>, swapped array<bigint>").toArrow()
-    lists = lambda name: [None if x is None or not x.is_valid else x.values.to_numpy() for x in rows.column(name)]
+    rows = texts.mapInArrow(_feature_kernel, "toxic int, own array<int>, lost array<int>, gained array<int>").toArrow()
+    lists = lambda name: [None if not x.is_valid else x.values.to_numpy().view(np.uint32) for x in rows.column(name)]
     toxic = np.array(rows.column("toxic").to_pylist(), int) > 0
-    key = [(bool(y), f.tobytes()) for y, f in zip(toxic, lists("own"), strict=True)]
-    order = sorted(range(len(key)), key=key.__getitem__)  # rows come in any order; the fit shouldn't depend on it
-    own_rows, swapped_rows = lists("own"), lists("swapped")
-    model = fit([own_rows[k] for k in order], [swapped_rows[k] for k in order], toxic[order] if len(order) else toxic, **options)
-    del rows, own_rows, swapped_rows, key
+    own_rows, changes = lists("own"), [None if x is None else (x, y) for x, y in zip(lists("lost"), lists("gained"), strict=True)]
+    # Rows come in any order; the fit shouldn't depend on it.
+    order = sorted(range(len(own_rows)), key=[(bool(y), hashlib.blake2b(f.tobytes(), digest_size=16).digest()) for y, f in zip(toxic, own_rows, strict=True)].__getitem__)
+    model = fit([own_rows[k] for k in order], [changes[k] for k in order], toxic[order] if len(order) else toxic, **options)
+    del rows, own_rows, changes
     give_back()
     return model
 
