@@ -2,241 +2,216 @@
 
 The tokens of a window (13 consecutive item words, or a whole shorter item) are ordered by rarity over
 all documents. A document that contains the window contains its rarest token, so this one is the
-necessary prefix: documents are probed with prefix tokens only. A probe's place in the window fixes
-where the window would begin; windows that would leave the document are cut by position and length, and
-the others are verified word by word.
+necessary prefix: only places of prefix tokens in documents are joined. The token's place in the window
+(positional bound) and the window's length fix where the window would lie; what would leave the document is cut, the
+others meet the benchmark's windows by a fingerprint of all their words (128 bits with the token's), which verifies containment.
 
-The benchmark is dealt into blocks of bounded size, and the documents pass block after block in one
-scan; so memory is bounded however large the benchmark is, and no document is shuffled.
+Benchmark and documents are tables on both sides of every join. To tasks go only two bitmaps of fixed
+size (words of the benchmark, prefix tokens and windows), which spare rows and never decide.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .runtime import column_buffers, prepare
+from .runtime import column_buffers, list_array, materialize, prepare, small_side
 
 WINDOW = 13
-#: Code points of benchmark text in one block, about; a longer item is a block of its own.
-BLOCK_CHARS = 4_000_000
+#: Bits of each bitmap (512 KB), whatever the benchmark's size; a full one only lets more rows through.
+BITS = 1 << 22
 _U = np.uint64
+_CANDS = "array<struct<start:int,size:int,token:bigint,print:bigint>>"
 
 
-@dataclass
-class Windows:
-    """Distinct windows of one length. at: where each begins in Block.words; items: of window i, items[first[i]:first[i+1]]."""
-
-    length: int
-    at: np.ndarray
-    items: np.ndarray
-    first: np.ndarray
-    token: np.ndarray = field(default_factory=lambda: np.zeros(0, _U))  # sorted distinct prefix tokens
-    reach: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # windows of token t: order[reach[t]:reach[t+1]]
-    order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    offset: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of the prefix token in each window
-
-
-@dataclass
-class Block:
-    names: list[str]
-    words: np.ndarray
-    groups: list[Windows]
-
-    def vocabulary(self) -> np.ndarray:
-        return np.unique(self.words)
-
-
-def build_block(items: list[tuple[str, str | None]], window: int = WINDOW) -> Block:
-    """Windows of the items (name, text)."""
-    column = pa.array(["" if t is None else t for _, t in items], pa.string())
-    data, bounds = column_buffers(column)
-    lists = []
-    for chunk in W.words(data, bounds, W.ALNUM):
-        cut = chunk.bounds()
-        lists += [chunk.hash[cut[r] : cut[r + 1]] for r in range(chunk.rows)]
-    starts = np.cumsum([0, *(len(x) for x in lists)])
-    flat = np.concatenate(lists) if lists else np.zeros(0, _U)
-    by_length: dict[int, dict[bytes, tuple[int, set[int]]]] = {}
-    for k, own in enumerate(lists):
-        if not len(own):
-            continue
-        length = min(window, len(own))
-        seen = by_length.setdefault(length, {})
-        for at in range(len(own) - length + 1):
-            key = own[at : at + length].tobytes()
-            seen.setdefault(key, (int(starts[k]) + at, set()))[1].add(k)
-    groups = []
-    for length, seen in sorted(by_length.items()):
-        at = np.array([x for x, _ in seen.values()], np.int64)
-        sets = [sorted(s) for _, s in seen.values()]
-        groups.append(Windows(length, at, np.array([i for s in sets for i in s], np.int64), np.cumsum([0, *(len(s) for s in sets)])))
-    return Block([n for n, _ in items], flat, groups)
-
-
-def set_prefixes(block: Block, vocabulary: np.ndarray, frequency: np.ndarray) -> None:
-    """Orders each window's tokens by rarity (ties by hash) and indexes windows by their rarest."""
-    for group in block.groups:
-        matrix = block.words[group.at[:, None] + np.arange(group.length)]
-        rarity = frequency[np.searchsorted(vocabulary, matrix)].astype(np.float64)
-        rarity += (matrix >> _U(11)).astype(np.float64) / float(1 << 53)
-        group.offset = np.argmin(rarity, axis=1)
-        token = matrix[np.arange(len(matrix)), group.offset]
-        group.order = np.argsort(token, kind="stable")
-        group.token, first = np.unique(token[group.order], return_index=True)
-        group.reach = np.append(first, len(token))
-
-
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, ... (count[0] values), first[1], ..."""
-    total = int(count.sum())
-    return np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-
-
-def find(block: Block, chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """For a chunk of documents: which words are hit, and distinct (row, item) of windows that occur, as rows of a matrix."""
-    n = len(chunk.hash)
-    change = np.zeros(n + 1, np.int64)
-    pairs = []
-    for group in block.groups:
-        if n < group.length:
-            continue
-        at = np.searchsorted(group.token, chunk.hash)
-        at[at == len(group.token)] = 0
-        place = np.flatnonzero(group.token[at] == chunk.hash)
-        count = (group.reach[1:] - group.reach[:-1])[at[place]]
-        window = group.order[_spread(group.reach[:-1][at[place]], count)]
-        start = np.repeat(place, count) - group.offset[window]
-        fits = (start >= 0) & (start + group.length <= n)
-        start, window = start[fits], window[fits]
-        fits = chunk.row[start] == chunk.row[start + group.length - 1]
-        start, window = start[fits], window[fits]
-        for d in range(group.length):
-            same = chunk.hash[start + d] == block.words[group.at[window] + d]
-            if not same.all():
-                start, window = start[same], window[same]
-        if len(start):
-            np.add.at(change, start, 1)
-            np.add.at(change, start + group.length, -1)
-            count = group.first[window + 1] - group.first[window]
-            pairs.append(np.unique(np.stack([np.repeat(chunk.row[start], count), group.items[_spread(group.first[window], count)]]), axis=1))
-    found = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-    return np.cumsum(change[:-1]) > 0, found
-
-
-def _count_kernel(vocabulary: np.ndarray):
+def _bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """Bits of the distinct 64-bit values: set by an aggregation over at most BITS / 64 groups."""
+    place = F.pmod(F.col(column), F.lit(BITS))
+    rows = values.select(F.floor(place / 64).cast("int").alias("at"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = rows.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def _held(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return bitmap[(values & _U(len(bitmap) - 1)).astype(np.int64)]
+
+
+def window_prints(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A fingerprint of each run of `size` words, by place of its first."""
+    return W.mix(W.shingles(hashes, size) ^ _U(W.mix_int(size)))
+
+
+def _words_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, text): (name, words), the distinct words of each text."""
+    for batch in batches:
+        data, bounds = column_buffers(batch.column(1))
+        lists = []
+        for chunk in W.words(data, bounds, W.ALNUM):
+            cut = chunk.bounds()
+            lists += [np.unique(chunk.hash[cut[r] : cut[r + 1]]).view(np.int64) for r in range(chunk.rows)]
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, np.array([len(x) for x in lists], np.int64), pa.int64())], names=["name", "words"])
+
+
+def _count_kernel(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             data, bounds = column_buffers(batch.column(0))
-            for chunk in W.words(data, bounds, W.ALNUM):
-                at = np.searchsorted(vocabulary, chunk.hash)
-                at[at == len(vocabulary)] = 0
-                total += np.bincount(at[vocabulary[at] == chunk.hash], minlength=len(vocabulary))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["place", "n"])
+            found = [x[_held(bitmap, x)] for x in (chunk.hash for chunk in W.words(data, bounds, W.ALNUM))]
+            names, n = np.unique(np.concatenate(found) if found else np.zeros(0, _U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return run
 
 
-def _mark_kernel(blocks: list[Block], keep: list[str], text_at: int):
+def _windows_kernel(window: int):
+    """Rows (name, text, words, counts): (name, token, offset, size, print) of the item's windows, token the rarest (ties: smallest hash)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, bounds = column_buffers(batch.column(text_at))
-            n_words, n_hit, names = [], [], []
+            data, bounds = column_buffers(batch.column(1))
+            flat = [batch.column(k).flatten().to_numpy() for k in (2, 3)]
+            cut = (batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()).tolist() if batch.num_rows else [0]
+            ids, columns = [], [[], [], [], []]
             for chunk in W.words(data, bounds, W.ALNUM):
-                hit = np.zeros(len(chunk.hash), bool)
-                of_row: list[set[str]] = [set() for _ in range(chunk.rows)]
-                for block in blocks:
-                    own, pairs = find(block, chunk)
-                    hit |= own
-                    for row, item in pairs.T:
-                        of_row[row].add(block.names[item])
-                n_words.append(np.bincount(chunk.row, minlength=chunk.rows))
-                n_hit.append(np.bincount(chunk.row[hit], minlength=chunk.rows))
-                names += of_row
-            lists = [sorted(x) for x in names]
-            arrays = [
-                pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_hit), pa.int64()), pa.array([len(x) for x in lists], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], pa.string()), pa.array(lists, pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *arrays], names=[*keep, "__n_words", "__n_hit", "__n_items", "__items_sha256", "__items"])
+                reach = chunk.bounds()
+                for r in range(chunk.rows):
+                    own = chunk.hash[reach[r] : reach[r + 1]]
+                    size = min(window, len(own))
+                    if not size:
+                        continue
+                    k = chunk.first + r
+                    names, counts = (x[cut[k] : cut[k + 1]] for x in flat)
+                    order = np.argsort(names.view(_U))
+                    rarity = np.empty(len(names), np.int64)
+                    rarity[np.lexsort((names[order].view(_U), counts[order]))] = np.arange(len(names))
+                    ranks = rarity[np.searchsorted(names[order].view(_U), own)]
+                    offset = np.lib.stride_tricks.sliding_window_view(ranks, size).argmin(axis=1)
+                    n = len(offset)
+                    ids.append(np.full(n, k))
+                    for column, x in zip(columns, (own[np.arange(n) + offset].view(np.int64), offset, np.full(n, size), window_prints(own, size).view(np.int64)), strict=True):
+                        column.append(x)
+            place = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            token, offset, size, prints = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array(token), pa.array(offset.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(prints)], names=["name", "token", "offset", "size", "print"])
 
     return run
 
 
-def _drop_kernel(blocks: list[Block], text_at: int, num: int, den: int):
+def _probe_kernel(tokens: np.ndarray, prints: np.ndarray, shapes: list[tuple[int, int]]):
+    """Rows (id, h1, h2, text): (id, h1, h2, n_words, cands); shapes are the (size, offset) of prefix tokens that windows have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, bounds = column_buffers(batch.column(text_at))
-            keep = []
+            data, bounds = column_buffers(batch.column(3))
+            n_words, counts, columns = [], [], [[], [], [], []]
             for chunk in W.words(data, bounds, W.ALNUM):
-                hit = np.zeros(len(chunk.hash), bool)
-                for block in blocks:
-                    hit |= find(block, chunk)[0]
-                n, h = np.bincount(chunk.row, minlength=chunk.rows), np.bincount(chunk.row[hit], minlength=chunk.rows)
-                keep.append((h == 0) | (den * h < num * n))
-            yield batch.filter(pa.array(np.concatenate(keep)))
+                n = len(chunk.hash)
+                reach = chunk.bounds()
+                n_words.append(np.diff(reach))
+                place = np.flatnonzero(_held(tokens, chunk.hash))
+                row, start, size, token, seen = ([np.zeros(0, np.int64)] for _ in range(5))
+                for length in sorted({s for s, _ in shapes}) if len(place) else []:
+                    if n < length:
+                        continue
+                    whole = window_prints(chunk.hash, length)
+                    for offset in (o for s, o in shapes if s == length):
+                        at = place - offset
+                        own = chunk.row[place]
+                        fits = (at >= reach[own]) & (at + length <= reach[own + 1])
+                        at, own, held = at[fits], own[fits], place[fits]
+                        some = _held(prints, whole[at])
+                        row.append(own[some])
+                        start.append(at[some] - reach[own[some]])
+                        size.append(np.full(int(some.sum()), length))
+                        token.append(chunk.hash[held[some]].view(np.int64))
+                        seen.append(whole[at[some]].view(np.int64))
+                row = np.concatenate(row)
+                order = np.argsort(row, kind="stable")
+                counts.append(np.bincount(row, minlength=chunk.rows))
+                for column, x in zip(columns, (start, size, token, seen), strict=True):
+                    column.append(np.concatenate(x)[order])
+            start, size, token, seen = (np.concatenate(x) for x in columns)
+            ends = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(token), pa.array(seen)], names=["start", "size", "token", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.concatenate(n_words), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "h1", "h2", "n_words", "cands"])
 
     return run
 
 
-def load_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_chars: int) -> list[Block]:
-    """The benchmark's blocks, with prefixes by word counts over all documents (one scan, summed by word)."""
+def _text_key(text: Column) -> list[Column]:
+    """128 bits that name a text; rows with equal texts have equal results."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(91), F.lit("text"), F.reverse(text)).alias("h2")]
+
+
+def _judge(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(id, h1, h2, n_words) of every row, and (h1, h2, n_hit, items) of each text in which windows occur."""
+    spark = docs.sparkSession
+    prepare(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).alias("text")).where("text is not null and name is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    number = max(1, -(-int(size) // block_chars))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(number)))
-    blocks = []
-    for k in range(number):
-        rows = dealt.where(F.col("block") == k).select("name", "text").collect() if size else []  # bounded: one block
-        block = build_block(sorted((r["name"], r["text"]) for r in rows), window)
-        vocabulary = block.vocabulary()
-        frequency = np.zeros(len(vocabulary), np.int64)
-        if len(vocabulary):
-            counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_kernel(vocabulary), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-            frequency[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
-            set_prefixes(block, vocabulary, frequency)
-            blocks.append(block)
-    return blocks
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, share: tuple[int, int] = (1, 20)) -> DataFrame:
+    items = items.withColumn("part", F.xxhash64("name", "text"))
+    texts = docs.select(F.col(text_col).alias("text"))
+    # The rarity table: counts over all documents of the benchmark's words, one scan, summed by word.
+    held = materialize(items.select("part", "text").mapInArrow(_words_kernel, "name bigint, words array<bigint>").select(F.col("name").alias("part"), F.explode("words").alias("word")).distinct(), "item_words")
+    vocabulary = held.select("word").distinct()
+    counted = texts.mapInArrow(_count_kernel(_bitmap(vocabulary, "word")), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = counted.join(vocabulary, "word", "left_semi")
+    rarity = held.join(counted, "word", "left").groupBy("part").agg(F.collect_list(F.struct("word", F.coalesce("n", F.lit(0)).alias("n"))).alias("w"))
+    listed = items.join(rarity, "part").select("name", "text", F.col("w.word").alias("words"), F.col("w.n").alias("counts"))
+    windows = materialize(listed.mapInArrow(_windows_kernel(window), "name string, token bigint, offset int, size int, print bigint"), "item_windows")
+    shapes = sorted((r["size"], r["offset"]) for r in windows.select("size", "offset").distinct().collect())  # at most window * (window + 1) / 2
+    probe = _probe_kernel(_bitmap(windows.select("token").distinct(), "token"), _bitmap(windows.select("print").distinct(), "print"), shapes)
+    source = docs.select(F.col(id_col).alias("id"), *_text_key(F.col(text_col)), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("cands", T._parse_datatype_string(_CANDS))])
+    rows = materialize(source.mapInArrow(probe, schema), "probed")
+    # Equal texts are judged once. The join of prefix tokens, with the windows' fingerprints; a common window is one row there.
+    cands = rows.where("size(cands) > 0").groupBy("h1", "h2").agg(F.first("cands").alias("cands")).select("h1", "h2", F.inline("cands"))
+    kinds = windows.select("token", "offset", "size", "print").distinct()
+    found = materialize(cands.join(small_side(kinds.drop("offset").distinct()), ["token", "size", "print"], "left_semi"), "occurrences")
+    spans = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("s"))
+    merged = F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], x["end"]).alias("reach")))
+    hit = spans.select("h1", "h2", merged["n"].cast("bigint").alias("n_hit"))
+    named = found.select("h1", "h2", "token", "print").distinct().join(windows.select("token", "print", "name").distinct(), ["token", "print"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_set("name")).alias("items"))
+    return rows.drop("cands"), materialize(hit.join(named, ["h1", "h2"]), "hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: tuple[int, int] = (1, 20)) -> DataFrame:
     """Per row of docs: id, n_words, n_hit, n_items, items_sha256, items (sorted names), contaminated.
 
     Words are runs of ASCII digits, letters (A-Z lower-cased) and all characters beyond ASCII. A window is
     `window` consecutive words of an item; an item of fewer words, but not none, is one window. A word of a
     document inside any occurrence of a window is hit; a document with n_hit > 0 and
     n_hit / n_words >= share is contaminated. Null texts have no words and are clean; items that are null or
-    without words match nothing; equal items each count. Repeated rows are judged each; an empty table
-    on either side gives no hits. Other columns aren't read.
+    without words match nothing; equal items each count, an item id that repeats counts once. Repeated rows are judged
+    each; an empty table on either side gives no hits. Other columns aren't read, so their names don't matter.
     """
-    prepare(docs.sparkSession)
-    blocks = load_blocks(docs, benchmark, text_col, item_col, item_text_col, window, block_chars)
-    picked = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("__n_words", "__n_hit", "__n_items")), T.StructField("__items_sha256", T.StringType()), T.StructField("__items", T.ArrayType(T.StringType()))])
-    marked = picked.mapInArrow(_mark_kernel(blocks, [id_col], 1), schema)
+    rows, hits = _judge(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
     num, den = share
-    return marked.select(
-        F.col(id_col), F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__n_items").alias("n_items"), F.col("__items_sha256").alias("items_sha256"), F.col("__items").alias("items"),
-        F.expr(f"__n_hit > 0 and {den} * __n_hit >= {num} * __n_words").alias("contaminated"),
+    joined = rows.join(small_side(hits), ["h1", "h2"], "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
+    return joined.select(
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), items.alias("items"),
+        ((n_hit > 0) & (n_hit * den >= F.col("n_words") * num)).alias("contaminated"),
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, share: tuple[int, int] = (1, 20)) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: tuple[int, int] = (1, 20)) -> DataFrame:
     """The rows of docs, all columns kept, that contamination() doesn't mark."""
-    prepare(docs.sparkSession)
-    blocks = load_blocks(docs, benchmark, text_col, item_col, item_text_col, window, block_chars)
-    return docs.mapInArrow(_drop_kernel(blocks, docs.columns.index(text_col), *share), docs.schema)
+    rows, hits = _judge(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
+    num, den = share
+    lengths = rows.groupBy("h1", "h2").agg(F.first("n_words").alias("n_words"))
+    bad = lengths.join(small_side(hits), ["h1", "h2"]).where(F.col("n_hit") * den >= F.col("n_words") * num).select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
+    bad = materialize(bad, "contaminated")
+    h1, h2 = (c for c in _text_key(docs[text_col]))
+    return docs.join(small_side(bad), (h1 == bad["__h1"]) & (h2 == bad["__h2"]), "left_anti")

@@ -65,7 +65,7 @@ def test_token_store(spark):
     assert token_store.store_and_read(frame(spark, []), path).count() == 0
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(300)}"
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([30, 13, 12, 1, 40])] + [(9, None), (10, "!!"), (11, None)]
@@ -79,8 +79,9 @@ def test_decontamination(spark):
         n = min(13, len(w))
         for i in range(len(w) - n + 1 if n else 0):
             windows.setdefault(tuple(w[i : i + n]), set()).add(str(k))
-    for block_chars in (4_000_000, 120):
-        got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench, block_chars=block_chars).collect()}
+    for bits in (decontaminate.BITS, 64):  # a full bitmap changes nothing
+        monkeypatch.setattr(decontaminate, "BITS", bits)
+        got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
         for k, t in enumerate(texts):
             w = words(t)
             hit, found = set(), set()
@@ -91,8 +92,9 @@ def test_decontamination(spark):
                         hit |= set(range(i, i + n))
             r = got[k]
             assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found))
+            assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
             assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
-        kept = {r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench, block_chars=block_chars).collect()}
+        kept = {r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()}
         assert kept == {k for k, r in got.items() if not r["contaminated"]}
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
