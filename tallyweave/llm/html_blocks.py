@@ -8,6 +8,7 @@ built by rule below, tells main text from the rest.
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,23 +22,33 @@ from pyspark.sql import types as T
 from .runtime import prepare
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|select|iframe|object|math|canvas|button)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|(?P<text>[^<]+|<)""",
-    re.S | re.I,
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|(?P<text>[^<]+|<)""",
+    re.S,
 )
+#: Elements whose content is not text of the page. Those drawn in a line leave no space behind.
+RAW = frozenset("script style noscript template svg textarea select iframe object math canvas button".split())
+INLINE_RAW = frozenset(("svg", "math", "button"))
 #: Elements that begin and end a block.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that stay open until closed; others can't enclose blocks reliably.
 ENCLOSING = frozenset("article aside details dialog div dl figure footer form head header li main menu nav ol section table td ul".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head".split())
+#: Names of things beside the article, as a whole class or id; a name of the article's own beside it outweighs them.
 HINT = re.compile(
-    r"^(?:ads?|adv|advert.*|sponsor.*|promo.*|banner|nav.*|menu.*|breadcrumb.*|sidebar.*|side|footer.*|header.*|masthead|topbar|cookie.*|consent.*|gdpr|notice.*|alert.*|newsletter.*|subscri.*|signup|login|share.*|sharing|social.*|related.*|recommend.*|comment.*|disqus.*|repl(?:y|ies)|discussion|widget.*|modal.*|popup.*|paginat.*|toolbar|copyright|legal|disclaimer|search.*|tags?)$"
+    r"^(?:(?:google|top|side|footer|banner)?[-_]?ads?(?:[-_](?:box|slot|banner|unit|wrapper|container|\d+))?|advert(?:s|isement|ising|orial)?|sponsor(?:s|ed)?(?:[-_]\w+)?|promos?(?:tion)?(?:[-_](?:box|banner))?|banner"
+    r"|(?:main|site|top|sub|page)?[-_]?nav(?:bar|igation)?(?:[-_](?:links|menu|bar|top|main))?|(?:main|side|top)?[-_]?menu(?:[-_](?:items?|bar|main))?|breadcrumbs?|(?:left|right)?[-_]?side[-_]?bar(?:[-_](?:left|right|box))?"
+    r"|(?:site|page)?[-_]?(?:footer|header|masthead)(?:[-_](?:links|nav|text|inner))?|topbar|toolbar|(?:cookie|consent|gdpr)s?(?:[-_](?:notice|banner|bar|popup|message))?|notices?|alerts?(?:[-_](?:box|bar|info|warning))?"
+    r"|newsletter(?:[-_]\w+)?|subscri(?:be|ption)(?:[-_]\w+)?|sign[-_]?up|log[-_]?in|shar(?:e|ing)(?:[-_](?:links|buttons|bar|tools))?|social(?:[-_](?:links|media|share|icons))?|related(?:[-_](?:posts|articles|links|stories|news|content))?"
+    r"|recommend(?:ed|ations)(?:[-_]\w+)?|(?:user|reader)?[-_]?comments?(?:[-_](?:list|section|area|body|text|form|thread|content|\d+))?|disqus(?:[-_]\w+)?|repl(?:y|ies)|discussion|respond|widgets?(?:[-_]\w+)?|modal(?:[-_]\w+)?|pop[-_]?up|paginat(?:ion|or)|copyright|disclaimer|search(?:[-_](?:box|form|bar))?)$"
 )
+OWN = re.compile(r"^(?:article|post|entry|story|content|main|body|text)(?:[-_](?:text|body|content|main|article|inner))*$")
 ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 SPACE = re.compile(r"\s+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+_AFTER_NAME = frozenset(" \t\n\r\f/>") | {""}
 
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_main", "in_boiler", "heading", "list_item", "page_has_main")
+FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_main", "in_boiler", "hinted", "heading", "list_item", "page_has_main")
 
 
 @dataclass
@@ -47,24 +58,29 @@ class Block:
     linked: int
     main: bool
     boiler: bool
+    hinted: bool
     heading: bool
     item: bool
 
 
 def _hinted(attrs: str) -> bool:
-    for match in ATTR.finditer(attrs):
-        if any(HINT.match(token) for token in re.split(r"[\s_\-]+", (match[1] or match[2] or match[3] or "").lower()) if token):
-            return True
-    return bool(HIDDEN.search(attrs))
+    names = [name for match in ATTR.finditer(attrs) for name in (match[1] or match[2] or match[3] or "").lower().split()]
+    return any(map(HINT.match, names)) and not any(map(OWN.match, names))
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. Scripts, styles and the like have no text; broken mark-up never raises."""
+    """Text blocks in page order. Broken mark-up never raises.
+
+    Scripts, styles and the like have no text; one without an end tag, or closed in itself, hides nothing that follows.
+    Hidden elements and page heads hide theirs.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, boiler: with what encloses it
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, main, boiler, hinted: with what encloses it
     parts: list[tuple[str, bool]] = []
     anchor = 0
     heading = False
+    lowered = ""
+    endless: set[str] = set()
 
     def flush() -> None:
         if not parts:
@@ -73,22 +89,41 @@ def blocks(page: str) -> list[Block]:
         if text:
             total = text.count(" ") + 1
             linked = sum(len(SPACE.sub(" ", entities.unescape(p)).split()) for p, inside in parts if inside)
-            main, boiler = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, total, min(linked, total), main, boiler, heading, bool(stack) and stack[-1][0] == "li"))
+            tag, main, boiler, hinted = stack[-1] if stack else ("", False, False, False)
+            out.append(Block(text, total, min(linked, total), main, boiler, hinted, heading, tag == "li"))
         parts.clear()
 
-    for m in TOKEN.finditer(page):
+    at, n = 0, len(page)
+    while at < n:
+        m = TOKEN.match(page, at)
+        if m is None:  # a tag that never ends, as text
+            parts.append((page[at], anchor > 0))
+            at += 1
+            continue
+        at = m.end()
         text = m["text"]
         if text is not None:
             parts.append((text, anchor > 0))
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            if m["raw"] and m["raw"].lower() not in ("svg", "math", "button"):
-                parts.append((" ", anchor > 0))
             continue
         closing = bool(m["close"] or m["close2"])
-        if tag == "a":
+        attrs = m["attrs"] if m["attrs"] is not None else m["attrs2"] or ""
+        if tag in RAW:
+            if not closing and not attrs.endswith("/") and tag not in endless:
+                lowered = lowered or page.translate(LOWER)
+                end = lowered.find(f"</{tag}", at)
+                while end >= 0 and lowered[end + 2 + len(tag) : end + 3 + len(tag)] not in _AFTER_NAME:
+                    end = lowered.find(f"</{tag}", end + 1)
+                if end < 0:
+                    endless.add(tag)
+                else:
+                    stop = page.find(">", end)
+                    at = n if stop < 0 else stop + 1
+            if tag not in INLINE_RAW:
+                parts.append((" ", anchor > 0))
+        elif tag == "a":
             anchor = max(0, anchor - 1) if closing else 1
         elif tag == "br":
             parts.append((" ", anchor > 0))
@@ -106,15 +141,13 @@ def blocks(page: str) -> list[Block]:
                             del stack[k:]
                             break
                 else:
-                    attrs = m["attrs"] if m["attrs"] is not None else m["attrs2"] or ""
                     if tag == "li" and stack and stack[-1][0] == "li":
                         stack.pop()
-                    main, boiler = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    is_main = tag in ("article", "main")
-                    bad = tag in BOILER_TAGS or (tag == "header" and not main) or (not is_main and _hinted(attrs))
-                    if tag == "article" and re.search(r"comment", attrs, re.I):
-                        bad = True
-                    stack.append((tag, main or is_main, boiler or bad))
+                    _, main, boiler, hinted = stack[-1] if stack else ("", False, False, False)
+                    own = tag in ("article", "main")
+                    named = _hinted(attrs)
+                    bad = tag in BOILER_TAGS or (tag == "header" and not main) or bool(HIDDEN.search(attrs)) or (tag == "article" and main and named)
+                    stack.append((tag, main or own, boiler or bad, hinted or (named and not own)))
     flush()
     return out
 
@@ -126,7 +159,7 @@ def features(found: list[Block]) -> np.ndarray:
     pad = lambda x: (np.r_[0.0, x[:-1]], np.r_[x[1:], 0.0]) if n else (x, x)
     (wb, wa), (db, da) = pad(words), pad(density)
     main = np.array([b.main for b in found], float)
-    return np.stack([words, density, wb, db, wa, da, main, np.array([b.boiler for b in found], float), np.array([b.heading for b in found], float), np.array([b.item for b in found], float), np.full(n, float(main.any()))], axis=1) if n else np.zeros((0, len(FEATURES)))
+    return np.stack([words, density, wb, db, wa, da, main, np.array([b.boiler for b in found], float), np.array([b.hinted for b in found], float), np.array([b.heading for b in found], float), np.array([b.item for b in found], float), np.full(n, float(main.any()))], axis=1) if n else np.zeros((0, len(FEATURES)))
 
 
 @dataclass
@@ -152,7 +185,7 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2) -> Tree:
     """A decision tree by Gini impurity. Ties go to the earlier feature and the smaller cut."""
     tree = Tree([], [], [], [], [])
 
@@ -188,38 +221,78 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
     return tree
 
 
-def labelled_pages() -> list[tuple[str, set[str]]]:
+def labelled_pages(number: int = 600, seed: int = 5) -> list[tuple[str, set[str]]]:
     """The small training table: pages by rule, each with the texts of its main blocks.
 
-    Every page has a menu, a notice, an advert, a sidebar, comments and a footer of varied lengths around
-    an article of headings, long and short paragraphs and a list; half of them mark the article by
-    an element, the others leave only densities to go by.
+    An article has headings, paragraphs of 1 to 120 words, lists, and at times entries that are all link. Half of the pages
+    mark it by an element; in half, what is beside it has telling elements or class names, else densities alone tell. Menus, lists of links, adverts,
+    notices, sidebars, comments and footers stand right before and after it in varying order.
     """
-    say = lambda n, seed: " ".join(f"w{(seed * 7 + i * 3) % 97}" for i in range(n))
+    rng = random.Random(seed)
     pages = []
-    for k in range(16):
-        marked = k % 2 == 0
-        lengths = [(30, 3, 55, 24, 1, 40, 2), (80, 60, 26, 4, 35), (45, 22, 2, 33), (25, 120, 6, 28, 31, 1)][k % 4]
-        short = [n for n in lengths if n < 8]
-        paragraphs = [say(n, k * 11 + i) + "." for i, n in enumerate(lengths) if marked or n >= 8]
-        title = say(5 + k % 4, k) if marked else ""
-        entries = [say(3 + i, k + 40 + i) for i in range(k % 3)] if marked else []
-        inner = f"<h1>{title}</h1>" * marked + "".join(f"<p>{p}</p>" for p in paragraphs) + "<ul>" * bool(entries) + "".join(f"<li>{e}</li>" for e in entries) + "</ul>" * bool(entries)
-        inside = f'<div class="ad">{say(7 + k, k + 60)}</div><aside>{say(12, k + 61)}</aside><section class="comments"><p>{say(30 + k, k + 62)}</p></section>' if marked and k % 4 == 0 else ""
-        article = f"<article>{inner}{inside}</article>" if k % 4 == 0 else f"<main>{inner}</main>" if marked else f"<div>{inner}</div>"
-        links = "".join(f'<li><a href="/{i}">{say(1 + i % 3, k + i)}</a></li>' for i in range(4 + k % 5))
-        around = [
-            f"<nav><ul>{links}</ul></nav>", f'<div class="ad">{say(4 + 3 * (k % 6), k + 70)}</div>', f'<div class="cookie-notice"><p>{say(15 + k, k + 71)}</p></div>', f"<p>{say(len(short) + 2, k + 72)}</p>" * (not marked),
-            f"<p><a href='/x'>{say(9, k + 76)}</a></p>", article, f"<aside><p>{say(10 + 4 * (k % 5), k + 73)}</p></aside>", f'<div id="comments"><p>{say(18 + k, k + 74)}</p></div>', f"<footer>{say(5 + k % 9, k + 75)}</footer>",
-        ]
-        pages.append(("<html><head><title>t</title></head><body>" + "".join(around) + "</body></html>", {title, *paragraphs, *entries} - {""}))
+    for k in range(number):
+        count = 0
+
+        def say(low: int, high: int, page: int = k) -> str:
+            nonlocal count
+            count += 1
+            return f"p{page}b{count} " + " ".join(f"w{rng.randrange(97)}" for _ in range(rng.randint(low, high) - 1)) if high > 1 else f"p{page}b{count}"
+
+        marked, named = k % 2 == 0, k // 2 % 2 == 0
+        main: list[str] = []
+
+        def own(text: str, main: list[str] = main) -> str:
+            main.append(" ".join(text.split()))
+            return text
+
+        link = lambda text: f'<a href="/x">{text}</a>'
+        links = lambda low, high: "<ul>" + "".join(f"<li>{link(say(1, 4))}</li>" for _ in range(rng.randint(low, high))) + "</ul>"
+        inner = [f"<h1>{own(say(3, 12))}</h1>"] if rng.random() < 0.8 else []
+        for _ in range(rng.randint(2, 7)):
+            # Without marks, short paragraphs stand between long ones.
+            words = rng.choice([(1, 7), (8, 20), (20, 60), (40, 120)])
+            if not marked and words == (1, 7):
+                inner.append(f"<p>{own(say(25, 60))}</p>")
+            inner.append(f"<p>{own(say(*words))}</p>")
+            if rng.random() < 0.2:
+                inner.append(f"<h2>{own(say(1, 6))}</h2><p>{own(say(20, 70))}</p>")
+            if rng.random() < 0.2:
+                inner.append("<ul>" + "".join(f"<li>{own(say(4, 25))}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
+            if marked and rng.random() < 0.25:
+                text = own(say(2, 9))
+                inner.append(f"<ul><li>{link(text)}</li></ul>")
+        if not marked:
+            inner.append(f"<p>{own(say(25, 80))}</p>")
+        if named and rng.random() < 0.4:
+            inner.insert(rng.randrange(len(inner)), f'<div class="ad">{say(3, 30)}</div>')
+        if named and rng.random() < 0.3:
+            inner.insert(rng.randrange(len(inner)), f"<aside><p>{say(5, 60)}</p></aside>")
+        body = "".join(inner)
+        body = rng.choice([f"<article>{body}</article>", f"<main>{body}</main>", f'<main><article class="post">{body}</article></main>']) if marked else f"<div>{body}</div>"
+        beside = {
+            "menu": f"<nav>{links(3, 8)}</nav>" if named else f"<div>{links(4, 8)}</div>",
+            "advert": f'<div class="ad">{say(3, 40)}</div>' if named else f"<div>{link(say(3, 12))}</div>",
+            "notice": f'<div class="cookie-notice"><p>{say(10, 45)} {link(say(1, 2))}</p></div>' if named else f"<p>{link(say(4, 10))}</p>",
+            "side": f"<aside><h3>{say(1, 4)}</h3><p>{say(8, 70)}</p>{links(2, 5)}</aside>" if named else f"<div>{links(3, 6)}</div>",
+            "comments": f'<section id="comments"><p>{say(5, 60)}</p><p>{say(2, 30)}</p></section>' if named else "",
+            "footer": f"<footer>{say(3, 25)}</footer>" if named else f"<div>{links(2, 5)}<p>{say(2, 6)}</p></div>",
+        }
+        if marked and not named:  # an element around the article is mark enough: anything may stand beside it
+            beside |= {"advert": f"<div>{say(3, 60)}</div>", "notice": f"<p>{say(5, 40)}</p>", "comments": f"<div><p>{say(4, 50)}</p><p>{say(10, 70)}</p></div>"}
+        before = ["menu", *rng.sample(["advert", "notice", "side"], rng.randint(0, 3))] if rng.random() < 0.7 else []
+        others = [x for x in ("advert", "side", "comments") if x not in before]
+        after = rng.sample(others, rng.randint(0, len(others))) + ["footer"] if rng.random() < 0.7 else []
+        if not before and not after:  # nothing but the article, which may be one short paragraph
+            body = body if rng.random() < 0.5 else "<p>" + say(1, 6) + "</p>"
+            main[:] = main if body[:3] != "<p>" else [body[3:-4].strip()]
+        pages.append(("<html><head><title>t</title></head><body>" + "".join(beside[x] for x in before) + body + "".join(beside[x] for x in after) + "</body></html>", set(main)))
     return pages
 
 
-def train() -> Tree:
-    """The tree for labelled_pages(). Deterministic."""
+def train(pages: list[tuple[str, set[str]]] | None = None) -> Tree:
+    """The tree for labelled pages. Deterministic."""
     x, y = [], []
-    for page, main in labelled_pages():
+    for page, main in labelled_pages() if pages is None else pages:
         found = blocks(page)
         x.append(features(found))
         y += [b.text in main for b in found]
