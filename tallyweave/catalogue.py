@@ -154,9 +154,9 @@ def q15_finalise_status(spark, sf):
     return io.parquet(spark, sf, "orders").select("o_orderkey", decided.alias("status"), special.alias("confirm_special"))
 
 
-@query(None)
+@query("SELECT doc_id, sha256(trim(regexp_replace(lower(strip_accents(replace(replace(replace(text,'œ','oe'),'Œ','oe'),'’',''''))), '[^\\p{L}\\p{N}_/+.,''-]+', ' ', 'g'), ' .,:;')) AS folded_sha256 FROM documents")
 def q16_fold_text(spark, sf):
-    """Folded source text by document, as a digest; Unicode decomposition has no SQL."""
+    """Folded source text by document, as a digest."""
     return io.parquet(spark, sf, "documents").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded_sha256"))
 
 
@@ -203,10 +203,16 @@ def q22_vocab_exact(spark, sf):
     return io.parquet(spark, sf, "customer").withColumn("form", F.lower("c_mktsegment")).join(F.broadcast(forms), "form", "left").select("c_custkey", "token")
 
 
-@query(None)
+_FORMS = ["economy", "standard", "promo", "large", "medium", "small"]
+
+
+# The longest common subsequence by brute force: every choice of a form's letters as a LIKE pattern.
+@query(f"""WITH f AS (SELECT * FROM (VALUES {",".join(f"({k},'{f}')" for k, f in enumerate(_FORMS))}) v(ord, form)), m AS (SELECT ord, form, list_filter(range(1, length(form)+1), lambda i: (mask >> (i-1)) % 2 = 1) AS idx FROM f, (SELECT unnest(range(0, 256)) AS mask) WHERE mask < (1 << length(form))),
+w AS (SELECT ord, form, len(idx) AS n, '%' || array_to_string(list_transform(idx, lambda i: substring(form, CAST(i AS BIGINT), 1)), '%') || '%' AS pattern FROM m), q AS (SELECT DISTINCT translate(lower(split_part(p_type, ' ', 1)), 'aeo', 'o3a') AS probe FROM part),
+r AS (SELECT probe, form, ord, round(2.0::DOUBLE * max(n) / (length(probe) + length(form)), 6) AS ratio FROM q JOIN w ON probe LIKE pattern GROUP BY probe, form, ord), k AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY ratio DESC, ord) AS p FROM r) SELECT probe, form, ratio FROM k WHERE p=1""")
 def q23_vocab_fuzzy(spark, sf):
-    """Best vocabulary form of each distinct misread type by indel ratio (a closed list of forms; LCS has no SQL)."""
-    forms = spark.createDataFrame([(k, f) for k, f in enumerate(["economy", "standard", "promo", "large", "medium", "small"])], "ord int, form string")
+    """Best vocabulary form of each distinct misread type by indel ratio (a closed list of forms)."""
+    forms = spark.createDataFrame(list(enumerate(_FORMS)), "ord int, form string")
     probes = io.parquet(spark, sf, "part").select(F.translate(F.lower(F.element_at(F.split("p_type", " "), 1)), "aeo", "o3a").alias("probe")).distinct()
     scored = probes.join(F.broadcast(forms), F.abs(F.length("probe") - F.length("form")) <= F.greatest(F.length("probe"), F.length("form"))).withColumn("ratio", F.round(F.expr(text.indel_ratio("probe", "form")), 6))
     return scored.groupBy("probe").agg(F.max_by("form", F.struct("ratio", -F.col("ord"))).alias("form"), F.max("ratio").alias("ratio"))
@@ -473,3 +479,6 @@ def q56_page_rules(spark, sf):
     rows = io.parquet(spark, sf, "orders").select(k.alias("page"), F.lit("history").alias("page_type"), F.inline(fields))
     rows = rows.withColumns({"source": F.lit("ocr"), "flags": F.array().cast("array<string>"), "exclusive_group": F.lit(None).cast("string")})
     return page_rules.apply_rules(rows).select(F.col("page").alias("k"), "field", "status", F.concat_ws(",", "flags").alias("flags"))
+
+
+from . import catalogue_records  # noqa: E402, F401  registers its queries here

@@ -42,3 +42,84 @@ def top(pairs: DataFrame, query: str, patient: str, score: str, keep: float = KE
 def shared_codes(rows: DataFrame, owner: str, code: str) -> DataFrame:
     """(code, n, owners) of codes that several owners hold: counted by code, so a common code makes no pairs."""
     return rows.select(owner, code).distinct().groupBy(code).agg(F.count(F.lit(1)).alias("n"), F.min(owner).alias("first_owner"), F.max(owner).alias("last_owner")).where("n > 1")
+
+
+# Points of the attributes, tolerances in years and days.
+AGE_NEAR, AGE_FAR, DAYS = 1, 3, 14
+ATTRIBUTES = ["age", "lmp", "edd", "gravidity", "parity", "province"]
+
+
+def _parts() -> list[tuple[Column, Column, Column]]:
+    """(points, reason, conflict) of each attribute, q_ columns against p_ columns; nulls count nothing."""
+    far = F.abs(F.col("q_age") - F.col("p_age"))
+    text = lambda c: F.col(c).cast("string")
+    out = [(F.when(far <= AGE_NEAR, 0.10).when(far > AGE_FAR, -0.20), F.when(far <= AGE_NEAR, "same age"), F.when(far > AGE_FAR, F.concat(F.lit("age "), text("p_age"), F.lit(" / "), text("q_age"))))]
+    for name in ("edd", "lmp"):
+        apart = F.abs(F.datediff(f"q_{name}", f"p_{name}"))
+        out.append((F.when(apart <= DAYS, 0.12).when(apart > DAYS, -0.15), F.when(apart <= DAYS, f"{name} agrees"), F.when(apart > DAYS, f"{name} differs")))
+    for name in ("gravidity", "parity"):
+        q, p = F.col(f"q_{name}"), F.col(f"p_{name}")
+        out.append((F.when(q == p, 0.04).when(q < p, -0.10), F.lit(None).cast("string"), F.when(q < p, F.concat(F.lit(f"{name} "), text(f"p_{name}"), F.lit(" / "), text(f"q_{name}")))))
+    same = F.lower("q_province") == F.lower("p_province")
+    out.append((F.when(same, 0.04), F.lit(None).cast("string"), F.when(~same, "province differs")))
+    return out
+
+
+def candidate_pairs(queries: DataFrame, patients: DataFrame) -> DataFrame:
+    """(query_id, patient_id, distance) of all pairs that can score KEEP or more: codes at distance 2 or less, or attributes that agree enough.
+
+    Without a code, .175 takes the same date (within DAYS) or a near age with two of gravidity, parity and province; so these are the
+    blocks, and every one is an equi-join. distance is null for pairs that only attributes bring together.
+    """
+    coded = code_pairs(queries.where("code is not null"), patients.where("code is not null").select(F.col("patient_id"), F.col("code").alias("p_code")), "query_id", "code", "patient_id", "p_code").select("query_id", "patient_id", "distance")
+    month = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (DAYS + 1))
+    key = lambda kind, *parts: F.when(F.greatest(*(F.isnull(x).cast("int") for x in (*parts, F.lit(1)))) == 0, F.concat_ws("|", F.lit(kind), *(x.cast("string") for x in parts)))
+    some = [("gravidity", "parity"), ("gravidity", "province"), ("parity", "province")]
+    value = lambda name: F.lower(name) if name == "province" else F.col(name)
+
+    def blocks(near: list[int]) -> Column:
+        dates = [key(name, month(name) + d) for name in ("edd", "lmp") for d in near]
+        return F.array_compact(F.array(*dates, *(key("age-" + x + "-" + y, F.col("age") + d, value(x), value(y)) for x, y in some for d in near)))
+
+    near = queries.select("query_id", F.explode(blocks([-1, 0, 1])).alias("block")).join(patients.select("patient_id", F.explode(blocks([0])).alias("block")), "block").select("query_id", "patient_id").distinct()
+    return near.join(coded, ["query_id", "patient_id"], "full")
+
+
+def candidates(queries: DataFrame, patients: DataFrame, k: int = 2) -> DataFrame:
+    """(query_id, rank, patient_id, score, reasons, conflicts, plausible): the k best patients of each query with a score of KEEP or more.
+
+    queries (query_id, code, attributes), patients (patient_id, code, attributes); codes are normalised. A score is clamped to 0..1 and
+    rounded to 3 places after the limit is applied; ties go to the smaller patient_id.
+    """
+    q = queries.select("query_id", F.length("code").alias("q_length"), *(F.col(c).alias(f"q_{c}") for c in ATTRIBUTES))
+    p = patients.select("patient_id", *(F.col(c).alias(f"p_{c}") for c in ATTRIBUTES))
+    rows = candidate_pairs(queries, patients).join(q, "query_id").join(p, "patient_id")
+    parts = _parts()
+    code = F.coalesce(code_score(F.col("distance"), F.col("q_length")), F.lit(0.0))
+    score = code + sum((F.coalesce(points, F.lit(0.0)) for points, _, _ in parts), F.lit(0.0))
+    said = F.when(F.col("distance") == 0, "same code").when(F.col("distance") == 1, "code off by 1").when((F.col("distance") == 2) & (F.col("q_length") >= 6), "code off by 2")
+    rows = rows.withColumns({
+        "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)),
+        "reasons": F.array_compact(F.array(said, *(r for _, r, _ in parts))), "conflicts": F.array_compact(F.array(*(c for _, _, c in parts))),
+    })
+    rows = rows.withColumn("score", F.round("score", 9))  # sums of the points differ in the last bit by their order
+    best = top(rows, "query_id", "patient_id", "score", KEEP, k)
+    return best.select("query_id", "rank", "patient_id", F.round("score", 3).alias("score"), "reasons", "conflicts", (F.round("score", 3) >= PLAUSIBLE).alias("plausible"))
+
+
+def lookup(pairs: DataFrame, k: int = 5) -> DataFrame:
+    """Patients for a typed code: pairs (query_id, patient_id, distance, query_length) that score LOOKUP or more, k at most; a single hit opens by itself."""
+    scored = pairs.withColumn("score", code_score(F.col("distance"), F.col("query_length")))
+    best = top(scored, "query_id", "patient_id", "score", LOOKUP, k)
+    alone = F.count(F.lit(1)).over(Window.partitionBy("query_id")) == 1
+    return best.select("query_id", "rank", "patient_id", "score", alone.alias("opens"))
+
+
+def code_owners(rows: DataFrame, owner: str, code: str) -> DataFrame:
+    """(code, owners): all holders of codes that several patients have, as a sorted array."""
+    return rows.select(owner, code).distinct().groupBy(code).agg(F.sort_array(F.collect_list(owner)).alias("owners")).where("size(owners) > 1")
+
+
+def may_create(plausible: Column, code_source: Column) -> Column:
+    """A new patient is never created by itself: only without a plausible one, and with a code that a person typed or confirmed."""
+    return ~F.coalesce(plausible, F.lit(False)) & code_source.isin("confirmed", "corrected", "manual")

@@ -17,20 +17,8 @@ def share(condition: Column, among: Column) -> Column:
     return F.avg(F.when(among, condition.cast("double")))
 
 
-def compare(truth: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """Ground truth left-joined with predictions: missing ones count as MISSING with confidence 0."""
-    joined = truth.join(predictions, keys, "left")
-    return joined.withColumns({"pred_status": F.coalesce("pred_status", F.lit("MISSING")), "confidence": F.coalesce("confidence", F.lit(0.0)), "source": F.coalesce("source", F.lit("none"))})
-
-
-def correctness(kind: Column, gt_status: Column, pred_status: Column, same: Column) -> Column:
-    shown = pred_status.isin("KNOWN", "NEEDS_REVIEW")
-    blank = pred_status.isin("NOT_PROVIDED", "NOT_APPLICABLE")
-    return F.when(kind == "checkbox", F.coalesce(same, F.lit(False))).when(gt_status.isin("KNOWN", "NEEDS_REVIEW"), shown & F.coalesce(same, F.lit(False))).when(gt_status == "NOT_PROVIDED", blank).otherwise(gt_status == pred_status)
-
-
 def summarise(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Measures of outcomes (handwritten, blank, checkbox, correct, accepted), all in one aggregation."""
+    """Measures of outcomes (handwritten, blank, checkbox, correct, accepted), all in one aggregation: 14, and with dash and missed all 19."""
     h, b, c = F.col("handwritten"), F.col("blank"), F.col("checkbox")
     ok, acc = F.col("correct"), F.col("accepted")
     every = F.lit(True)
@@ -39,6 +27,11 @@ def summarise(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
         share(ok, h & acc).alias("accuracy_when_auto_accepted"), share(~acc, h).alias("flagged_for_review_share"), share(~ok, h & acc).alias("silent_error_rate"), share(~ok, acc).alias("all_fields_silent_error_rate"),
         F.count_if(b).alias("n_blank"), share(ok, b).alias("blank_accuracy"), F.count_if(b & ~ok).alias("blank_errors"), F.count_if(c).alias("n_checkbox"), share(ok, c).alias("checkbox_accuracy"),
     ]
+    if {"dash", "missed"} <= set(rows.columns):
+        d = F.col("dash")
+        measures += [
+            share(F.col("missed"), h).alias("missed_as_blank_share"), share(~acc, every).alias("all_fields_review_share"), F.count_if(d).alias("n_dash"), share(ok, d).alias("dash_accuracy"), share(~ok, c & acc).alias("checkbox_silent_error_rate"),
+        ]
     return rows.groupBy(*(by or [])).agg(*measures)
 
 

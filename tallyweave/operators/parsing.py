@@ -16,7 +16,7 @@ SPREAD = 1024
 
 def vocabulary_forms(spark: SparkSession) -> DataFrame:
     """(vocabulary, ord, form, token): the folded forms of the closed lists, tokens among them; of tokens that share a form the last wins."""
-    fold = text.folder()
+    fold = text.fold_key
     rows = []
     for name, tokens in VOCABULARIES.items():
         index: dict[str, str] = {}

@@ -51,3 +51,59 @@ def code_order(rows: DataFrame, patient: str, code: str, key: str, at: str) -> D
 
 def latest_known(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, at).alias(value))
+
+
+def decide(entry: Column, status: Column, value: Column, source: Column, by: Column, at: Column) -> Column:
+    """An entry (status, value, source, confidence, decided_by, decided_at, audit) after a person's decision, which the audit keeps."""
+    step = F.struct(at.alias("at"), by.alias("by"), entry["value"].alias("from"), value.alias("to"))
+    return F.struct(status.alias("status"), value.alias("value"), source.alias("source"), F.lit(1.0).alias("confidence"), by.alias("decided_by"), at.alias("decided_at"), F.array_append(entry["audit"], step).alias("audit"))
+
+
+def confirm_all(rows: DataFrame) -> DataFrame:
+    """Every confident machine entry becomes a confirmed one; the others stay."""
+    sure = ~F.col("source").isin(HUMAN) & ~needs_review(F.col("source"), F.col("status"), F.col("confirm_special"))
+    return rows.withColumns({"changed": sure, "source": F.when(sure, "confirmed").otherwise(F.col("source"))})
+
+
+# Fields that hold the attributes used for matching.
+QUASI = {"age": "history.age", "lmp": "pregnancy.lmp_date", "edd": "pregnancy.edd", "gravidity": "history.gravidity", "parity": "history.parity", "province": "cover.province", "region": "cover.region"}
+
+
+def quasi_identifiers(rows: DataFrame, record: str = "record_id") -> DataFrame:
+    """One row for each record: its code (typed, else the one read) and the attributes for matching, from readable entries only."""
+    shown = F.col("status").isin("KNOWN", "NEEDS_REVIEW")
+    value = lambda field: F.max(F.when(shown & (F.col("field_id") == field), F.col("value")))
+    return rows.groupBy(record).agg(F.coalesce(F.max("code"), value("cover.registry_code")).alias("code"), *(value(field).alias(name) for name, field in QUASI.items()))
+
+
+def resolve(old: Column, new: Column, choice: Column, picked: Column) -> Column:
+    """The value that stays when a page is digitised again: all old, all new, or field by field."""
+    return F.when(choice == "keep_old", old).when(choice == "take_new", new).when(picked == "new", new).otherwise(old)
+
+
+def pages_in_profile(fields: DataFrame, profile: DataFrame, key: str, field: str = "field_id") -> DataFrame:
+    """(key, page_type) of pages in fields that the profile has already."""
+    page = lambda rows: rows.select(key, F.split_part(F.col(field), F.lit("."), F.lit(1)).alias("page_type")).distinct()
+    return page(fields).join(page(profile), [key, "page_type"], "left_semi")
+
+
+def missing_pages(captured: DataFrame, every: DataFrame, key: str) -> DataFrame:
+    """Page types that a record has, or all of them where it has none."""
+    some = captured.select(key).distinct()
+    return captured.select(key, "page_type").distinct().unionByName(every.join(some, key, "left_anti").select(key, "page_type"))
+
+
+def visits_of(profiles: DataFrame, records: DataFrame) -> DataFrame:
+    """(patient_id, record_id, date) for the records that a profile lists; ids without a record are skipped."""
+    return profiles.select("patient_id", F.explode("records").alias("record_id")).join(records, "record_id")
+
+
+def summary(rows: DataFrame, key: str, at: str, name: str, shown: str) -> DataFrame:
+    """(key, name, line): each field over time as one line, 'date: value' in order of time."""
+    points = F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.concat_ws(": ", F.date_format(at, "dd/MM/yyyy"), F.col(shown)).alias("text"))))
+    return rows.groupBy(key, name).agg(F.array_join(points["text"], "; ").alias("line"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """(n_fields, n_filled, n_stray, n_dropped) of a dataset of pages (fields, unassigned, dropped: arrays)."""
+    return rows.agg(F.sum(F.size("fields")).alias("n_fields"), F.sum(F.size(F.filter("fields", lambda f: f.isNotNull() & (f != "")))).alias("n_filled"), F.count_if(F.size("unassigned") > 0).alias("n_stray"), F.sum(F.size("dropped")).alias("n_dropped"))

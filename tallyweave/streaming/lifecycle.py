@@ -45,25 +45,43 @@ def backoff(attempts: Column, most: int = 600) -> Column:
     return F.least(F.lit(float(most)), F.pow(F.lit(2.0), attempts))
 
 
-def guarded(events: DataFrame, table: dict[str, list[str]], record: str = "record_id", state: str = "to_state") -> DataFrame:
-    """Streaming guard: (record, from_state, to_state, ok) for each event in order of its id; state by record, last legal state kept.
+#: Ids that a record's state remembers, the latest ones, to tell a replayed event from a late one.
+SEEN = 5000
 
-    events: a stream with record, event_id (long) and the target state. Replayed event ids are dropped.
+
+def guarded(events: DataFrame, table: dict[str, list[str]], record: str = "record_id", state: str = "to_state", remember: int = SEEN) -> DataFrame:
+    """Streaming guard: (record, event_id, from_state, to_state, ok, reason) for each event in order of its id; the last legal state of a record is kept.
+
+    events: a stream with record, event_id (long) and the target state. An event whose id is remembered is a replay and gives no row.
+    One with a smaller id than the last that isn't remembered comes late: it gives a row that isn't ok and changes nothing.
     """
-    schema = f"{record} string, event_id bigint, from_state string, to_state string, ok boolean"
+    schema = f"{record} string, event_id bigint, from_state string, to_state string, ok boolean, reason string"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        current, seen = held.get if held.exists else (None, -1)
-        rows = pd.concat(list(frames)).sort_values("event_id")
+        current, last, recent = held.get if held.exists else (None, -1, [])
+        recent = dict.fromkeys(recent)
+        rows = pd.concat(list(frames)).sort_values("event_id", kind="stable")
         out = []
-        for event, target in zip(rows["event_id"], rows[state], strict=True):
-            if event <= seen:
+        for event, target in zip(rows["event_id"].tolist(), rows[state], strict=True):
+            if event in recent:
                 continue
-            ok = current is None or current == target or target in table.get(current, [])
-            out.append((key[0], int(event), current, target, ok))
-            seen = int(event)
-            current = target if ok else current
-        held.update((current, seen))
-        yield pd.DataFrame(out, columns=[record, "event_id", "from_state", "to_state", "ok"])
-
-    return events.groupBy(record).applyInPandasWithState(step, schema, "state string, seen bigint", "append", "NoTimeout")
+            late = event < last
+            legal = current is None or current == target or target in table.get(current, [])
+            out.append((key[0], event, current, target, legal and not late, "late" if late else None if legal else "illegal"))
+            recent[event] = None
+            if not late:
+                last, current = event, target if legal else current
+        held.update((current, last, list(recent)[-remember:]))
+        yield pd.DataFrame(out, columns=[record, "event_id", "from_state", "to_state", "ok", "reason"])
+
+    return events.groupBy(record).applyInPandasWithState(step, schema, "state string, last bigint, recent array<bigint>", "append", "NoTimeout")
+
+
+def appended(history: DataFrame, path: str, query_name: str, checkpoint: str):
+    """Starts a query that appends a stream of history rows to a table: nothing is ever rewritten, and a batch that is replayed is written once."""
+    return history.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).queryName(query_name).outputMode("append").trigger(availableNow=True).start()
+
+
+def once(events: DataFrame, key: str, at: str, delay: str) -> DataFrame:
+    """A stream without repeats of a key within a time bound (state is kept for so long only)."""
+    return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
