@@ -236,10 +236,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c
 def q25_link_candidates(spark, sf):
     q = io.parquet(spark, sf, "supplier").select("s_suppkey", F.expr("substring(s_name, length(s_name)-7)").alias("q_code"), "s_nationkey", "s_acctbal")
     p = io.parquet(spark, sf, "customer").select("c_custkey", F.expr("substring(c_name, length(c_name)-7)").alias("p_code"), "c_nationkey", "c_acctbal")
-    pairs = linking.code_pairs(q, p, "s_suppkey", "q_code", "c_custkey", "p_code").join(q, "s_suppkey").join(p, "c_custkey")
+    p = linking.smallest(p, "c_custkey", ["p_code", "c_nationkey", "c_acctbal"], 2)
     gap = F.abs(F.col("s_acctbal") - F.col("c_acctbal"))
-    score = F.round(linking.code_score(F.col("distance"), F.col("query_length")) + linking.attribute_score(F.col("s_nationkey") == F.col("c_nationkey"), gap <= 1000, gap > 3000), 3)
-    return linking.top(pairs.withColumn("score", score), "s_suppkey", "c_custkey", "score").select("s_suppkey", "c_custkey", "score", "rank")
+    score = linking.code_score(F.col("distance"), F.length("q_code")) + linking.attribute_score(F.col("s_nationkey") == F.col("c_nationkey"), gap <= 1000, gap > 3000)
+    at = lambda d: lambda left: linking.at_distance(left, p, "q_code", "p_code", d).withColumn("score", score)
+    most = linking.SAME_NUMBER + linking.NEAR_AMOUNT
+    best = linking.climb(q, [(points + most, at(d)) for d, points in linking.BY_DISTANCE.items()], "s_suppkey", "c_custkey", linking.KEEP, 2, 3)
+    return best.select("s_suppkey", "c_custkey", "score", "rank")
 
 
 @query("SELECT l_partkey AS code, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS first_owner, max(l_suppkey) AS last_owner FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey)>1")
