@@ -58,8 +58,8 @@ def q57_link_all_attributes(spark, sf):
 @query(f"""WITH p AS ({_PATIENT}), q AS ({_QUERY}), x AS (SELECT query_id, patient_id, q.code AS qcode, levenshtein(q.code, p.code) AS d FROM q, p), s AS (SELECT query_id, patient_id, {_CODE_POINTS} AS score FROM x WHERE d<=2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, patient_id) AS rank FROM s WHERE score >= 0.25), t AS (SELECT * FROM r WHERE rank<=5) SELECT query_id, rank, patient_id, score, count(*) OVER (PARTITION BY query_id) = 1 AS opens FROM t""")
 def q58_lookup_by_code(spark, sf):
-    pairs = linking.code_pairs(_queries(spark, sf).where("code is not null"), _patients(spark, sf).select("patient_id", F.col("code").alias("p_code")), "query_id", "code", "patient_id", "p_code")
-    return linking.lookup(pairs).select("query_id", F.col("rank").cast("bigint").alias("rank"), "patient_id", "score", "opens")
+    found = linking.lookup(_queries(spark, sf).where("code is not null"), _patients(spark, sf))
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "patient_id", "score", "opens")
 
 
 @query("SELECT o_clerk AS code, o FROM (SELECT o_orderpriority||(o_orderkey%500) AS o_clerk, string_agg(DISTINCT CAST(o_custkey AS VARCHAR), ',' ORDER BY CAST(o_custkey AS VARCHAR)) AS o, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1) WHERE n>1")
