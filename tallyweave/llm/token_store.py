@@ -36,8 +36,11 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4096, 64 << 10
 LEVEL = 3
 MEMO_WORDS = 700_000
 INDEX = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<i8"), ("at", "<u4"), ("size", "<u4"), ("null", "u1")])
+#: Signs after a word, and what they may follow: between the two a match of byte-level BPE always ends.
+SIGNS, WORD_END = ".,!?;:", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _tokenizers: dict[str, object] = {}
 #: White space or what some library counts as such, before a space: there a cut could split a match.
+_UNSAFE_ASCII = tuple(x + " " for x in "\t\n\v\f\r\x1c\x1d\x1e\x1f ")
 _UNSAFE = re.compile("[\\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff] ")
 
 
@@ -58,13 +61,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         # A special token between pieces lets the library take many in one call; the pieces' ids are cut at its id.
         plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = plain[0] if plain else (None, None)
+        self.sizes = self._sizes()
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # pieces that come here are new; the library's own memory of words costs more than it saves
 
+    def _sizes(self) -> np.ndarray | None:
+        """The bytes of each id's text, where the file is plain byte-level BPE: pieces that are encoded as one text are told apart by them."""
+        rules = json.loads(self.tokenizer.to_str())
+        split, model = rules["pre_tokenizer"] or {}, rules["model"]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and model["type"] == "BPE"
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if not plain or rules["normalizer"] or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")) or any(set(x) & set(" " + SIGNS) for x in added.values()):
+            return None
+        sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            sizes[i] = len(token)
+        for i, content in added.items():
+            sizes[i] = len(content.encode())
+        return sizes
+
+    def _joined(self, pieces: list[str]) -> list[bytes] | None:
+        """The ids of pieces by one text; None if some id goes beyond its piece."""
+        text = "".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
+        ends = np.cumsum([len(p) for p in pieces] if text.isascii() else [len(p.encode()) for p in pieces])
+        reach = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+        cut = np.searchsorted(reach, ends, side="right") - 1
+        if cut[-1] != len(ids) or (reach[cut] != ends).any():
+            return None
+        raw, cut = ids.tobytes(), (cut * self.width.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+
     def _library(self, pieces: list[str], marked: bool) -> list[bytes]:
+        if self.sizes is not None and (found := self._joined(pieces)) is not None:
+            return found
         if not marked:
             return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0].ids, self.width)
@@ -73,10 +107,26 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(raw)], strict=True)]
 
+    def _stems(self, pieces: list[str]) -> tuple[list[str], list[tuple[str, str, str]]]:
+        """Pieces that the library has to encode, and others as words with signs after them, the words being remembered or among the first."""
+        wanted, signed = {}, []
+        for p in pieces:
+            stem = p.rstrip(SIGNS)
+            if stem is p or stem[-1:] not in WORD_END:
+                wanted[p] = None
+                continue
+            sign = p[len(stem) :]
+            if sign not in self.signs:
+                self.signs[sign] = self._library([sign], False)[0]
+            signed.append((p, stem, sign))
+            if stem not in self.memo:
+                wanted[stem] = None
+        return list(wanted), signed
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of `width`."""
         first, *rest = text.split(" ")
-        if _UNSAFE.search(text):
+        if any(map(text.__contains__, _UNSAFE_ASCII)) if text.isascii() else _UNSAFE.search(text):
             pieces = [first]
             for part in rest:
                 if not pieces[-1] or _UNSAFE.search(pieces[-1][-1] + " "):
@@ -84,17 +134,24 @@ class Encoder:
                 else:
                     pieces.append(part)
             first, *rest = pieces
+        # The last piece may end in white space: it has nothing after it, so it stays the last one.
+        tail = [" " + rest.pop()] if rest and (not rest[-1] or _UNSAFE.search(rest[-1][-1] + " ")) else []
         memo = self.memo  # of pieces without the space before them
-        found = list(map(memo.get, rest))
-        missing = list(dict.fromkeys(p for p, f in zip(rest, found, strict=True) if f is None)) if None in found else []
+        missing = list(set(rest).difference(memo))
         marked = self.mark is not None and self.mark not in text
-        fresh = self._library([first, *(" " + p for p in missing)], marked)
-        if missing:
-            new = dict(zip(missing, fresh[1:], strict=True))
-            if len(memo) < MEMO_WORDS:
-                memo.update(x for x in new.items() if len(x[0]) < 40)
-            found = [new[p] if f is None else f for p, f in zip(rest, found, strict=True)]
-        return fresh[0] + b"".join(found)
+        wanted, signed = self._stems(missing) if self.sizes is not None else (missing, [])
+        fresh = self._library([first, *(" " + p for p in wanted), *tail], marked)
+        new = dict(zip(wanted, fresh[1 : len(wanted) + 1], strict=True))
+        for piece, stem, sign in signed:
+            ids = new.get(stem)
+            new[piece] = (memo[stem] if ids is None else ids) + self.signs[sign]
+        full = len(memo) >= MEMO_WORDS
+        memo.update(new)
+        out = b"".join([fresh[0], *map(memo.__getitem__, rest), *fresh[len(wanted) + 1 :]])
+        for piece in new:
+            if full or len(piece) >= 40:
+                del memo[piece]
+        return out
 
 
 def encoder(path: str) -> Encoder:
