@@ -34,7 +34,7 @@ SHARD_BYTES = 4 << 20
 #: Documents that the dictionary is trained on at most (smallest hashes), ids of each, and the dictionary's bytes.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4096, 64 << 10
 LEVEL = 3
-MEMO_WORDS = 700_000
+MEMO_WORDS = 1_500_000
 INDEX = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<i8"), ("at", "<u4"), ("size", "<u4"), ("null", "u1")])
 #: Signs after a word, and what they may follow: between the two a match of byte-level BPE always ends.
 SIGNS, WORD_END = ".,!?;:", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
