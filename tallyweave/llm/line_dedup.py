@@ -3,7 +3,7 @@
 Documents come in batches of ascending id. The distinct line keys of a batch are anti-joined with the
 runs of earlier batches; keys that no run holds are new, belong to the smallest document of the batch
 that has them, and become a run of level 0. When a level holds `fan_out` runs they are merged into one
-run of the next, so a key is rewritten once a level and a batch meets few runs.
+run of the next, so a key is rewritten once a level and a batch meets few runs. The last batch writes no run.
 
 A run is a Parquet table in the shared scratch folder, its files hash-partitioned and sorted by key.
 """
@@ -47,8 +47,8 @@ class LineRuns:
                 keys = keys.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return keys
 
-    def add(self, owners: DataFrame, compact: bool = True) -> DataFrame:
-        """Adds a run of new keys (h1, h2, owner) and, if later batches will read the runs, compacts full levels."""
+    def add(self, owners: DataFrame) -> DataFrame:
+        """Adds a run of new keys (h1, h2, owner) and compacts full levels."""
         run = self._write(owners)
         depth = 0
         while True:
@@ -57,7 +57,7 @@ class LineRuns:
             self.levels[depth].append(run)
             if depth == 0:
                 added = run
-            if len(self.levels[depth]) < self.fan_out or not compact:
+            if len(self.levels[depth]) < self.fan_out:
                 return added
             full, self.levels[depth] = self.levels[depth], []
             merged = full[0]
@@ -110,7 +110,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for k in range(len(bounds) + 1):
         own = lines.where(F.col("batch") == k)
         first = own.groupBy("h1", "h2").agg(F.min("oid").alias("owner"))
-        new = runs.add(runs.unseen(first), compact=shared or k < len(bounds))
+        new = runs.unseen(first)
+        if shared or k < len(bounds):  # no later batch reads the last run: its keys are used as they come
+            new = runs.add(new)
         gone = own.join(new.select("h1", "h2", F.col("owner").alias("oid")), ["h1", "h2", "oid"], "left_anti").select("oid", "rid", "pos")
         dropped = gone if dropped is None else dropped.unionByName(gone)
     marks = dropped.distinct().groupBy("oid", "rid").agg(F.sort_array(F.collect_list("pos")).alias("gone"))

@@ -23,6 +23,16 @@ def test_later_batches_read_compacted_runs(spark):
     assert [len(level) for level in runs.levels] == [1, 0, 1]
 
 
+def test_last_batch_writes_no_run(spark):
+    docs = spark.createDataFrame([(k, f"a line of all documents\nown line number {k}\nline of pairs {k // 2}") for k in range(40)], "doc_id bigint, text string")
+    with runtime.owned(spark, "last batch"):
+        found = line_dedup.drop_repeated_lines(docs, batches=4)
+    written = [path.rsplit("-", 1)[1] for owner, path in spark.sparkContext._tallyweave_tables if owner == "last batch"]
+    assert {r["doc_id"]: r["__n_dropped"] for r in found.collect()} == {k: (k > 0) + k % 2 for k in range(40)}
+    runtime.release(spark, "last batch")
+    assert written == ["lines", "run", "run", "run", "run"]  # three batches and the merged run of two
+
+
 @pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "x", "word " * 20_000 + " " * 1_000_000 + "end of it", "a.\n" * 60_000 + "\t" * 20_000, "é " * 40_000 + " " * 30_000 + "!", "x" + "\n" * 10_001 + "\n'll"])
 def test_bpe_long_white_space(text):
     encoding = bpe.load(queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), queries.bpe_pattern())
