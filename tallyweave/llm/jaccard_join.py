@@ -269,7 +269,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = materialize(source.mapInArrow(_base_kernel(n, similarity, in_word), "id bigint, n bigint, h1 bigint, h2 bigint, sigs array<bigint>, sketch binary"), "partenum")
     classes = materialize(base.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     copied = materialize(classes.where("copies > 1").select("h1", "h2", "n", "rep"), "copied")
+    # One row for each set, joined once: every pass reads them twice.
     nodes = base.where("size(sigs) > 0").join(small_side(copied), ["h1", "h2", "n"], "left").where("rep is null or rep = id")
+    nodes = materialize(nodes.select("id", "n", "sigs"), "nodes")
     members = None
     for turn in range(PASSES):
         # Signatures are dealt by value into passes, so that only a part of them is on disk as shuffle files at a time.
@@ -280,7 +282,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         discard(shared)
         free_shuffles(spark)
     full, base = base, materialize(base.drop("sigs"), "lean")
-    discard(full, copied)
+    discard(full, copied, nodes)
     sketches = base.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "sketch")
     sketches = materialize(sketches, "sketches")
     held = sketches.agg(F.sum(F.length("sketch") + 32)).first()[0] or 0

@@ -74,3 +74,12 @@ def test_bands_cover_partners():
         for n in range(1, 3000):
             own = max(i for i, e in enumerate(ends) if e <= n)
             assert n * den // num < ends[own + 2]
+
+
+def test_copies_are_left_out_once(spark, monkeypatch):
+    written, materialize = {}, jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: written.setdefault(label, []).append(df.select("id").count() if label == "nodes" else 0) or materialize(df, label))
+    rows = [(k, " ".join(f"w{j}x{max(k, 4)}" for j in range(60))) for k in range(9)] + [(9, None)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), n=3, similarity=(90, 100)).collect()}
+    assert got == {k: 0 if k < 5 else k for k in range(10)}
+    assert written["nodes"] == [5]
